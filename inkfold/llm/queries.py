@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .bpe import encode_documents
 from .common import documents
+from .credentials import secrets
 from .fingerprints import fingerprints
+from .packing import pack
 from .quality import quality
 from .separators import token_counts
 
 QUERIES = {
+    "op1_best_fit_packing": lambda spark, d: pack(documents(spark, d)),
+    "op2_secret_scan": lambda spark, d: secrets(documents(spark, d)),
     "op3_byte_bpe": lambda spark, d: encode_documents(documents(spark, d)),
     "op4_quality_bands": lambda spark, d: quality(documents(spark, d)),
     "op5_multiset_fingerprints": lambda spark, d: fingerprints(documents(spark, d)),
