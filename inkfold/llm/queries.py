@@ -9,6 +9,7 @@ from .fingerprints import fingerprints
 from .packing import pack
 from .quality import quality
 from .separators import token_counts
+from .simhash import near_duplicates
 from .toxicity import toxicity
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_byte_bpe": lambda spark, d: encode_documents(documents(spark, d)),
     "op4_quality_bands": lambda spark, d: quality(documents(spark, d)),
     "op5_multiset_fingerprints": lambda spark, d: fingerprints(documents(spark, d)),
+    "op6_simhash_near_duplicates": lambda spark, d: near_duplicates(documents(spark, d)),
     "op7_toxicity": lambda spark, d: toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op8_token_counts": lambda spark, d: token_counts(documents(spark, d)),
 }
