@@ -6,6 +6,7 @@ from .bpe import encode_documents
 from .common import documents
 from .credentials import secrets
 from .fingerprints import fingerprints
+from .lines import duplicate_lines
 from .packing import pack
 from .quality import quality
 from .separators import token_counts
@@ -21,5 +22,6 @@ QUERIES = {
     "op6_simhash_near_duplicates": lambda spark, d: near_duplicates(documents(spark, d)),
     "op7_toxicity": lambda spark, d: toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op8_token_counts": lambda spark, d: token_counts(documents(spark, d)),
+    "op10_line_dedup": lambda spark, d: duplicate_lines(documents(spark, d)),
 }
 ORACLE_SQL: dict = {}
