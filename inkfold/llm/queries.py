@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import encode_documents
 from .common import documents
 from .credentials import secrets
@@ -23,5 +25,9 @@ QUERIES = {
     "op7_toxicity": lambda spark, d: toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op8_token_counts": lambda spark, d: token_counts(documents(spark, d)),
     "op10_line_dedup": lambda spark, d: duplicate_lines(documents(spark, d)),
+    "pipeline": corpus_pipeline.run,
 }
+#: none of these methods can be expressed in SQL but for parts of them; tests/llm has their brute-force versions
 ORACLE_SQL: dict = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
