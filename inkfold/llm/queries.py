@@ -13,6 +13,7 @@ from .packing import pack
 from .quality import quality
 from .separators import token_counts
 from .simhash import near_duplicates
+from .suffixes import repeated_passages
 from .toxicity import toxicity
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op6_simhash_near_duplicates": lambda spark, d: near_duplicates(documents(spark, d)),
     "op7_toxicity": lambda spark, d: toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op8_token_counts": lambda spark, d: token_counts(documents(spark, d)),
+    "op9_repeated_passages": lambda spark, d: repeated_passages(documents(spark, d)),
     "op10_line_dedup": lambda spark, d: duplicate_lines(documents(spark, d)),
     "pipeline": corpus_pipeline.run,
 }
