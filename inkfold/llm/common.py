@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 ID, KEY, TEXT = "_doc", "_key", "_text"
 SLICE_BYTES = 1 << 18
@@ -75,6 +76,31 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], names: list[str], drop_last: int = 0) -> DataFrame:
+    """``fn`` over each Arrow batch of a table of any column names, repeated or quoted ones too; columns are known by place.
+
+    ``fn`` returns all columns but the last ``drop_last``.
+    """
+    kinds = [f.dataType for f in df.schema.fields]
+    schema = StructType([StructField(f"_c{i}", t) for i, t in enumerate(kinds[: len(kinds) - drop_last])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield fn(b)
+
+    return df.toDF(*[f"_c{i}" for i in range(len(kinds))]).mapInArrow(run, schema).toDF(*names)
+
+
+def quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_struct(docs: DataFrame):
+    """All columns of the input as one, so that none can clash."""
+    return F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("row")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``fn`` over each Arrow batch."""
 

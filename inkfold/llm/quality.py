@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import ID, TEXT, keyed, map_arrow
+from .common import ID, TEXT, keyed, map_arrow, map_rows
 
 LEVEL = 3
 CHUNK_BYTES = 1024
@@ -89,4 +89,4 @@ def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return b.filter(pa.array([v[-1] == "keep" for v in _verdicts(b.column(at))]))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_rows(docs, run, docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, KEY, TEXT, as_long, keyed, map_arrow, mix, ranges, slices, strings, table, whole, words
+from .common import ID, KEY, TEXT, as_long, keyed, map_arrow, mix, ranges, row_struct, slices, strings, table, whole, words
 from .components import components
 
 BLOCKS = 6
@@ -275,7 +275,7 @@ def near_dedup(docs: DataFrame, k: int = K, blocks: int = BLOCKS, id_col: str =
     """The rows, with all their columns, of which one of each group stays."""
     groups = table(near_groups(docs, k, blocks, id_col, text_col), "simhash-groups")
     drop = groups.where(~(F.col(ID).eqNullSafe(F.col("rep_id")) & (F.col(KEY) == F.col("rep_key"))))
-    own = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias(ID), F.xxhash64(docs[text_col]).alias(KEY))
+    own = docs.select(row_struct(docs), docs[id_col].cast("long").alias(ID), F.xxhash64(docs[text_col]).alias(KEY))
     gone = drop.select(F.col(ID).alias("gone_id"), F.col(KEY).alias("gone_key"))
     kept = own.join(gone, own[ID].eqNullSafe(gone["gone_id"]) & (own[KEY] == gone["gone_key"]), "left_anti")
     again = groups.where(F.col(ID).eqNullSafe(F.col("rep_id")) & (F.col(KEY) == F.col("rep_key")) & (F.col("n_rows") > 1)).select(F.col(ID).alias("again_id"), F.col(KEY).alias("again_key"))
