@@ -32,8 +32,13 @@ def bounded(phrase: str) -> str:
     return f"(?iu){left}{quote(phrase)}{right}"
 
 
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: no white space; the printable ASCII characters are told by one comparison
+SOLID = f"[!-~[^{SPACE}]]"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{S}+|{S}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def rstrip_lines(c: Column) -> Column:
@@ -46,7 +51,7 @@ def tokens(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of runs without white space; 0 for empty text."""
-    return F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
+    return F.regexp_count(c, F.lit(f"{SOLID}+"))
 
 
 @F.pandas_udf("string")
@@ -76,10 +81,13 @@ def clean_text(c: Column, *, compose: bool = True) -> Column:
     return strip(t)
 
 
+CUT = "\ufdd1"
+
+
 def sentences(c: Column) -> Column:
     """Sentences: cut at white space after a full stop, an exclamation or a question mark."""
-    parts = F.split(strip(c), f"(?<=[.!?]){S}+", -1)
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    marked = F.regexp_replace(strip(c), f"([.!?]){S}+", f"$1{CUT}")
+    return F.filter(F.split(marked, CUT, -1), lambda s: s != "")
 
 
 def let(value: Column, body) -> Column:

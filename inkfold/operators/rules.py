@@ -27,8 +27,8 @@ PATTERNS = {
     "struct.tailing_negation": f",{S}+no{S}+{W}+(?:{S}+{W}+){{0,2}}[.!?]{S}*\\z",
     "content.superficial_ing": f"(?iu),{S}*(?:{'|'.join(map(quote, PARTICIPLES))}){EDGE}",
 }
-PASSIVE = f"(?iu){EDGE}(?:was|were|been|being|is|are){S}+{W}+(?:ed|en){EDGE}"
-_AUX = "(?iu)(?:was|were|been|being|is|are)"
+#: an auxiliary and a word in -ed or -en; the first letter is tried before anything behind it is looked at
+PASSIVE = f"(?iu)[wbia](?<!{W}[wbia])(?:(?<=w)(?:as|ere)|(?<=b)(?:een|eing)|(?<=i)s|(?<=a)re){S}+{W}+(?:ed|en){NOT_AFTER}"
 RHYTHM_SPREAD, RHYTHM_MEAN, PASSIVE_LEAST, PASSIVE_SHARE, SHORT_WORDS = 4, 14, 3, 0.04, 8
 
 
@@ -76,11 +76,15 @@ def abstract_nouns(low: Column) -> Column:
     return F.filter(F.regexp_extract_all(low, F.lit("[a-zA-Z]+"), F.lit(0)), lambda w: w.isin(*ABSTRACT_NOUNS))
 
 
+def may_have_nouns(low: Column) -> Column:
+    nouns = _texts(ABSTRACT_NOUNS)
+    return let(low, lambda t: F.exists(nouns, lambda n: t.contains(n)))
+
+
 def noun_stack_violations(text: Column, low: Column) -> Column:
     nouns = abstract_nouns(low)
     hit = F.array(_make("struct.abstract_noun_stack", text, _point(0, F.length(text)), F.array_join(F.slice(nouns, 1, 5), ", ")))
-    possible = low.rlike("|".join(ABSTRACT_NOUNS))
-    return F.when(possible & (F.size(nouns) >= 3), hit).otherwise(_none())
+    return F.when(may_have_nouns(low) & (F.size(nouns) >= 3), hit).otherwise(_none())
 
 
 def _lexicon(rules: list[str]) -> Column:
@@ -90,9 +94,13 @@ def _lexicon(rules: list[str]) -> Column:
         r = RULES[rule]
         for phrase in PHRASES[rule]:
             pattern = bounded(phrase) if r.mode == BOUNDED else f"(?iu){quote(phrase)}"
-            values = {"rule_id": r.id, "severity": r.severity, "advice": r.advice, "phrase": phrase, "pattern": pattern, "first": r.mode == FIRST, "context": r.context}
-            rows.append(F.struct(*[F.lit(v).alias(k) for k, v in values.items()]))
-    return F.array(*rows)
+            values = {"rule_id": f'"{r.id}"', "severity": f'"{r.severity}"', "advice": f'"{r.advice}"', "phrase": f'"{phrase}"', "pattern": f'r"{pattern}"', "first": str(r.mode == FIRST), "context": str(r.context)}
+            rows.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in values.items()) + ")")
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _texts(values: tuple[str, ...]) -> Column:
+    return F.expr("array(" + ", ".join(f'"{v}"' for v in values) + ")")
 
 
 def phrases_present(low: Column, rules: list[str] | None = None) -> Column:
@@ -127,27 +135,37 @@ DOCUMENT_RULES = [r.id for r in sorted(RULES.values(), key=lambda r: r.order) if
 
 def rhythm_window(counts: Column) -> Column:
     """Index of the first of three sentences of like length in the middle range, or null."""
-    n = F.size(counts)
-    at = F.filter(
-        F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
-        lambda i: (i + 3 <= n)
-        & (F.array_max(F.slice(counts, i + 1, 3)) - F.array_min(F.slice(counts, i + 1, 3)) <= RHYTHM_SPREAD)
-        & (F.aggregate(F.slice(counts, i + 1, 3), F.lit(0), lambda a, x: a + x) >= 3 * RHYTHM_MEAN),
-    )
-    return F.when(n >= 3, F.try_element_at(at, F.lit(1)))
+
+    def first(c: Column) -> Column:
+        n = F.size(c)
+        three = lambda i: F.slice(c, i + 1, 3)
+        at = F.filter(
+            F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
+            lambda i: (F.array_max(three(i)) - F.array_min(three(i)) <= RHYTHM_SPREAD) & (F.aggregate(three(i), F.lit(0), lambda a, x: a + x) >= 3 * RHYTHM_MEAN),
+        )
+        return F.when(n >= 3, F.try_element_at(at, F.lit(1)))
+
+    return let(counts, first)
 
 
 def passive_window(sents: Column, text: Column) -> Column:
     """Index of the first of up to three sentences together with too many passives, or null."""
-    n = F.size(sents)
-    width = F.least(F.lit(3), n)
-    joined = F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(sents, i + 1, F.greatest(width, F.lit(1))), " ").alias("t")))
-    bad = F.filter(joined, lambda x: (F.regexp_count(x["t"], F.lit(PASSIVE)) >= PASSIVE_LEAST) & (F.regexp_count(x["t"], F.lit(PASSIVE)) / word_count(x["t"]) > PASSIVE_SHARE))
-    return F.when((n >= 2) & (F.regexp_count(text, F.lit(_AUX)) >= PASSIVE_LEAST), F.try_element_at(bad, F.lit(1))["i"])
+
+    def first(s: Column) -> Column:
+        n = F.size(s)
+        width = F.least(F.lit(3), n)
+        joined = F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(s, i + 1, F.greatest(width, F.lit(1))), " ").alias("t")))
+        counted = F.transform(joined, lambda x: F.struct(x["i"].alias("i"), F.regexp_count(x["t"], F.lit(PASSIVE)).alias("p"), word_count(x["t"]).alias("w")))
+        bad = F.filter(counted, lambda x: (x["p"] >= PASSIVE_LEAST) & (x["p"] / x["w"] > PASSIVE_SHARE))
+        return F.when(n >= 2, F.try_element_at(bad, F.lit(1))["i"])
+
+    return F.when(F.regexp_count(text, F.lit(PASSIVE)) >= PASSIVE_LEAST, let(sents, first))
 
 
 def has_colloquial(low: Column) -> Column:
-    return low.rlike(f"{NOT_BEFORE}(?:{'|'.join(map(quote, COLLOQUIAL))}){NOT_AFTER}")
+    """Whether lower-cased text has a spoken word; the pattern runs only where one of them occurs at all."""
+    words = _texts(COLLOQUIAL)
+    return let(low, lambda t: F.exists(words, lambda w: t.contains(w)) & t.rlike(f"{NOT_BEFORE}(?:{'|'.join(map(quote, COLLOQUIAL))}){NOT_AFTER}"))
 
 
 def document_violations(text: Column, sents: Column, counts: Column) -> Column:
@@ -180,11 +198,12 @@ def analyze(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     wanted = rules or [*SENTENCE_RULES, *DOCUMENT_RULES]
     whole = any(r in DOCUMENT_RULES for r in wanted)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"), sentences(F.col(text_col)).alias("sents"))
-    own = own.select("doc_id", "body", "sents", phrases_present(F.lower("body"), wanted).alias("present") if any(r in PHRASES for r in wanted) else F.lit(None).alias("present"), F.transform("sents", word_count).alias("counts"))
-    own = own.select("doc_id", "sents", "counts", "present", (document_violations(F.col("body"), F.col("sents"), F.col("counts")) if whole else _none()).alias("of_doc"))
+    stacks = "struct.abstract_noun_stack" in wanted
+    own = own.select("doc_id", "body", "sents", (may_have_nouns(F.lower("body")) if stacks else F.lit(False)).alias("nouns"), phrases_present(F.lower("body"), wanted).alias("present") if any(r in PHRASES for r in wanted) else F.lit(None).alias("present"), F.transform("sents", word_count).alias("counts"))
+    own = own.select("doc_id", "sents", "counts", "present", "nouns", (document_violations(F.col("body"), F.col("sents"), F.col("counts")) if whole else _none()).alias("of_doc"))
     if whole and rules:
         own = own.withColumn("of_doc", F.filter("of_doc", lambda v: v["rule_id"].isin(*wanted)))
-    each = own.select("doc_id", "present", "of_doc", "counts", F.posexplode("sents").alias("idx", "text")).withColumn("low", F.lower("text"))
+    each = own.select("doc_id", "present", "nouns", "of_doc", "counts", F.posexplode("sents").alias("idx", "text")).withColumn("low", F.lower("text"))
     # patterns before phrases and after them: by order of the rules
     parts, text, low = [], F.col("text"), F.col("low")
     for r in sorted(wanted, key=lambda r: RULES[r].order):
@@ -192,7 +211,8 @@ def analyze(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
             if not parts or parts[-1] is not None:
                 parts.append(None)
         elif r in SENTENCE_RULES:
-            parts.append(sentence_violations(r, text, low))
+            found = sentence_violations(r, text, low)
+            parts.append(F.when(F.col("nouns"), found).otherwise(_none()) if r == "struct.abstract_noun_stack" else found)
     return each.select("doc_id", "idx", "text", F.col("counts")[F.col("idx")].alias("n_words"), _assemble(parts, F.col("present"), text, low).alias("violations"))
 
 

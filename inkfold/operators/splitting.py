@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, S, let, strip, tokens
+from ..functions.text import CUT, S, let, strip
 
 STRINGS = "array<string>"
 CHUNKS = "array<struct<text:string,para_idx:int>>"
@@ -14,10 +14,9 @@ CHUNKS = "array<struct<text:string,para_idx:int>>"
 
 def cjk_sentences(text: Column) -> Column:
     """Sentences of Latin and CJK text: also cut without white space before a capital or an ideograph; never empty."""
-    end = "[.!?。！？]"
-    t = strip(text)
-    parts = F.filter(F.transform(F.split(t, f"(?<={end}){S}+|(?<={end})(?=[A-Z一-鿿])", -1), strip), lambda x: x != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(t))
+    marked = F.regexp_replace(strip(text), f"([.!?。！？])(?:{S}+|(?=[A-Z一-鿿]))", f"$1{CUT}")
+    parts = F.filter(F.split(marked, CUT, -1), lambda x: x != "")
+    return let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.lit(""))))
 
 
 def paragraphs(text: Column) -> Column:
@@ -57,8 +56,8 @@ def group_sentences(sents: Column, most: int) -> Column:
 
 def chunk_sentences(text: Column, most: int) -> Column:
     """Text in groups of sentences; short text as it is, a single long sentence cut hard."""
-    sents = cjk_sentences(text)
-    return F.when(F.length(text) <= most, F.array(text)).when(F.size(sents) <= 1, hard_split(text, most)).otherwise(group_sentences(sents, most))
+    grouped = let(cjk_sentences(text), lambda s: F.when(F.size(s) > 1, group_sentences(s, most)))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.coalesce(grouped, hard_split(text, most)))
 
 
 def chunks(df: DataFrame, most: int = 200, merge: bool = False, text_col: str = "text", out_col: str = "chunks") -> DataFrame:
@@ -117,12 +116,12 @@ def split_finer(text: Column, level: int) -> Column:
     """Level 0: the text; 1: pairs of sentences; from 2: sentences."""
     if level <= 0:
         return F.array(text)
-    sents = cjk_sentences(text)
-    if level == 1:
-        fine = F.transform(F.sequence(F.lit(0), F.floor((F.size(sents) - 1) / 2).cast("int")), lambda i: F.array_join(F.slice(sents, i * 2 + 1, 2), " "))
-    else:
-        fine = sents
-    return F.when(F.size(sents) <= 1, F.array(text)).otherwise(fine)
+    def finer(sents: Column) -> Column:
+        if level > 1:
+            return sents
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(sents) - 1) / 2).cast("int")), lambda i: F.array_join(F.slice(sents, i * 2 + 1, 2), " "))
+
+    return let(F.struct(text.alias("t"), cjk_sentences(text).alias("s")), lambda v: F.when(F.size(v["s"]) <= 1, F.array(v["t"])).otherwise(finer(v["s"])))
 
 
 def segment_numbers(counts: Column, target: int) -> Column:
@@ -167,9 +166,10 @@ def segments(docs: DataFrame, target: int = 800, overlap: int = 2, id_col: str =
 
 def align(new: Column, n: Column) -> Column:
     """Sentences brought to a count: surplus ones joined to the last, missing ones empty."""
-    size = F.size(new)
-    return (
-        F.when(size == n, new)
-        .when(size > n, F.concat(F.slice(new, 1, F.greatest(n - 1, F.lit(0))), F.array(F.array_join(F.slice(new, F.greatest(n, F.lit(1)), size), " "))))
-        .otherwise(F.concat(new, F.array_repeat(F.lit(""), F.greatest((n - size).cast("int"), F.lit(0)))))
-    )
+
+    def fit(s: Column) -> Column:
+        size = F.size(s)
+        joined = F.concat(F.slice(s, 1, F.greatest(n - 1, F.lit(0))), F.array(F.array_join(F.slice(s, F.greatest(n, F.lit(1)), size), " ")))
+        return F.when(size == n, s).when(size > n, joined).otherwise(F.concat(s, F.array_repeat(F.lit(""), F.greatest((n - size).cast("int"), F.lit(0)))))
+
+    return let(new, fit)
