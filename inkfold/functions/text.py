@@ -54,14 +54,13 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(f"{SOLID}+"))
 
 
-@F.pandas_udf("string")
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 def nfc(c: Column) -> Column:
     """Composed characters; only text beyond Latin goes through Python."""
-    return F.when(c.rlike(r"[^\x00-ɏ]"), _nfc(c)).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-ɏ]"), F.pandas_udf(_nfc, "string")(c)).otherwise(c)
 
 
 INVISIBLE = "﻿​‌‍­  �" + "".join(map(chr, [*range(0, 9), 11, 12, *range(14, 32), 127]))

@@ -23,23 +23,28 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(strip(text), f"\\n{S}*\\n", -1), strip), lambda x: x != "")
 
 
-@F.pandas_udf(STRINGS)
-def _hard_split(texts: pd.Series, limits: pd.Series) -> pd.Series:
-    def cut(text: str, most: int) -> list[str]:
-        out = []
-        while len(text) > most:
-            at = text.rfind(" ", 0, most)
-            at = at if at > 0 else most
-            out.append(text[:at].strip())
-            text = text[at:].strip()
-        return [*out, text] if text else out
+def cut_hard(text: str, most: int) -> list[str]:
+    """Pieces of at most ``most`` characters, cut at the last space before."""
+    out = []
+    while len(text) > most:
+        at = text.rfind(" ", 0, most)
+        at = at if at > 0 else most
+        out.append(text[:at].strip())
+        text = text[at:].strip()
+    return [*out, text] if text else out
 
-    return pd.Series([None if t is None else cut(t, int(m)) for t, m in zip(texts, limits, strict=True)])
+
+def _cut_texts(texts: pd.Series, limits: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else cut_hard(t, int(m)) for t, m in zip(texts, limits, strict=True)])
+
+
+def _cut_arrays(rows: pd.Series, limits: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None else [None if t is None else cut_hard(t, int(m)) for t in r] for r, m in zip(rows, limits, strict=True)])
 
 
 def hard_split(text: Column, most: int) -> Column:
     """Pieces of at most ``most`` characters, cut at the last space before; a loop without bound, so Python where it's needed."""
-    return F.when(F.length(text) > most, _hard_split(text, F.lit(most))).when(text == "", F.array().cast(STRINGS)).otherwise(F.array(text))
+    return F.when(F.length(text) > most, F.pandas_udf(_cut_texts, STRINGS)(text, F.lit(most))).when(text == "", F.array().cast(STRINGS)).otherwise(F.array(text))
 
 
 def group_sentences(sents: Column, most: int) -> Column:
@@ -70,7 +75,7 @@ def chunks(df: DataFrame, most: int = 200, merge: bool = False, text_col: str =
     paras = F.when(F.size(paragraphs(t)) <= 1, F.array(t)).otherwise(paragraphs(t))
     own = df.withColumn("__paras", F.when(t == "", F.array().cast(STRINGS)).otherwise(paras))
     # the few paragraphs that are one long sentence go to Python, all at once for a row
-    own = own.withColumn("__hard", _hard_split_all(F.transform("__paras", lambda p: F.when((F.length(p) > most) & (F.size(cjk_sentences(p)) <= 1), p)), F.lit(most)))
+    own = own.withColumn("__hard", F.pandas_udf(_cut_arrays, "array<array<string>>")(F.transform("__paras", lambda p: F.when((F.length(p) > most) & (F.size(cjk_sentences(p)) <= 1), p)), F.lit(most)))
 
     def parts(p: Column, i: Column) -> Column:
         soft = F.when(F.length(p) <= most, F.array(p)).otherwise(group_sentences(cjk_sentences(p), most))
@@ -98,20 +103,6 @@ def chunks(df: DataFrame, most: int = 200, merge: bool = False, text_col: str =
     return own.withColumn(out_col, out).drop("__paras", "__hard", pieces)
 
 
-@F.pandas_udf("array<array<string>>")
-def _hard_split_all(rows: pd.Series, limits: pd.Series) -> pd.Series:
-    def cut(text: str, most: int) -> list[str]:
-        out = []
-        while len(text) > most:
-            at = text.rfind(" ", 0, most)
-            at = at if at > 0 else most
-            out.append(text[:at].strip())
-            text = text[at:].strip()
-        return [*out, text] if text else out
-
-    return pd.Series([None if r is None else [None if t is None else cut(t, int(m)) for t in r] for r, m in zip(rows, limits, strict=True)])
-
-
 def split_finer(text: Column, level: int) -> Column:
     """Level 0: the text; 1: pairs of sentences; from 2: sentences."""
     if level <= 0:
