@@ -47,7 +47,7 @@ class Codec:
         self.begins = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.bytes = np.frombuffer(b"".join(by_rank), np.uint8)
 
-    # encoding -------------------------------------------------------------------------------------------------------
+    # encoding
     def leaf(self, text: str) -> np.ndarray:
         return np.array(self.bpe.encode_ordinary(text), np.int32)
 
@@ -104,7 +104,7 @@ class Codec:
                 return at + 1
             k *= 4
 
-    # decoding -------------------------------------------------------------------------------------------------------
+    # decoding
     def decode(self, tokens: np.ndarray, leaf_tokens: int = 1 << 16) -> bytes:
         if len(tokens) > leaf_tokens:
             half = len(tokens) // 2

@@ -36,7 +36,7 @@ _MASK = np.uint64(0x0001000100010001)
 _PER_WORD = 48  # bits used of each 64-bit hash: lanes s, s+16, s+32, s+48 for 12 shifts
 
 
-# anchors ----------------------------------------------------------------------------------------------------------------
+# anchors
 def golay() -> np.ndarray:
     """The 4096 words of the binary Golay code [23, 12], as multiples of its generator polynomial."""
     g = 0b101011100011
@@ -116,7 +116,7 @@ def cover(radius: int) -> Cover:
     return _covers[radius]
 
 
-# fingerprints -----------------------------------------------------------------------------------------------------------
+# fingerprints
 def fingerprint(data: np.ndarray, offs: np.ndarray, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
     """(rows x blocks matrix of 23-bit words, whether the row has words) of consecutive texts; each distinct word has one vote."""
     n, need = len(offs) - 1, blocks * BITS
@@ -161,7 +161,7 @@ def to_longs(fp: np.ndarray) -> list[np.ndarray]:
     return [fp[:, b] | (fp[:, b + 1] << BITS if b + 1 < fp.shape[1] else 0) for b in range(0, fp.shape[1], 2)]
 
 
-# comparison -------------------------------------------------------------------------------------------------------------
+# comparison
 def link(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of rows of ``fps`` (longs) that differ in at most k bits.
 

@@ -19,7 +19,7 @@ from .common import DIR, HAVE, edge_docs, given, union_find
 needs_data = pytest.mark.skipif(not HAVE, reason="no test tables")
 
 
-# components --------------------------------------------------------------------------------------------------------------
+# components
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(7000, 7000)]
@@ -38,7 +38,7 @@ def test_components(spark):
     assert all(k == min(v) for k, v in got.items())
 
 
-# 1 packing ----------------------------------------------------------------------------------------------------------------
+# 1 packing
 def test_place_is_best_fit():
     rng = random.Random(5)
     bins, cap = packing.Bins(100), 100
@@ -70,7 +70,7 @@ def test_pack_is_complete_and_compatible(spark):
         assert len({docs[r["doc_id"]]["source"] for r in own}) == len(own) == len({docs[r["doc_id"]]["text"] for r in own})
 
 
-# 2 secrets ----------------------------------------------------------------------------------------------------------------
+# 2 secrets
 def test_automata_tell_formats_apart():
     formats = credentials.infer(credentials.labelled_examples())
     held_out = credentials.labelled_examples(40, seed=1234)
@@ -98,7 +98,7 @@ def test_secrets_in_prose(spark):
     assert all(kinds[i][0] not in clean[i] and clean[i].startswith(text) for i in caught)
 
 
-# 3 BPE --------------------------------------------------------------------------------------------------------------------
+# 3 BPE
 @settings(max_examples=150, deadline=None)
 @over(st.text(alphabet=st.sampled_from(list(" \n\t'adlstrevm12.,!?éñß漢😀  x")), max_size=120), st.integers(1, 9))
 def test_tree_gives_the_whole_texts_tokens(text, leaf):
@@ -108,7 +108,7 @@ def test_tree_gives_the_whole_texts_tokens(text, leaf):
     assert c.decode(tokens, 3) == text.encode()
 
 
-# 4 quality ----------------------------------------------------------------------------------------------------------------
+# 4 quality
 def test_quality_bands():
     z = quality.compressor()
     prose = " ".join(f"{w}{i % 37} went to see {w[::-1]} at {i * 31 % 101}" for i, w in enumerate(["house", "river", "garden", "winter"] * 60))
@@ -130,7 +130,7 @@ def test_clean_documents_stay(spark):
     assert sum(good) / len(good) > 0.99
 
 
-# 5 fingerprints -----------------------------------------------------------------------------------------------------------
+# 5 fingerprints
 @settings(max_examples=60, deadline=None)
 @over(st.lists(st.text(alphabet="abc ", max_size=6), max_size=8), st.randoms())
 def test_fingerprint_is_a_multiset_hash(parts, rng):
@@ -153,7 +153,7 @@ def test_fingerprints_of_sources(spark):
         assert bytes(got[source]) == fingerprints.fingerprint("\n".join(texts).encode())
 
 
-# 6 SimHash ----------------------------------------------------------------------------------------------------------------
+# 6 SimHash
 def test_golay_code_covers():
     code = simhash.golay()
     d = np.bitwise_count(code[:, None] ^ code[None, :40])
@@ -205,7 +205,7 @@ def test_fingerprint_counts_each_word_once():
     assert (fp[0] == fp[1]).all() and (fp[0] == fp[2]).all() and has.tolist() == [True, True, True, False, False]
 
 
-# 7 toxicity ---------------------------------------------------------------------------------------------------------------
+# 7 toxicity
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -244,7 +244,7 @@ def test_toxic_labels(spark):
     assert sum(clean) / len(clean) < 0.02
 
 
-# 8 separators -------------------------------------------------------------------------------------------------------------
+# 8 separators
 def test_separator_scan_stitches_blocks(spark, tmp_path):
     rng = np.random.default_rng(4)
     want = {}
@@ -275,7 +275,7 @@ def test_token_counts(spark):
     assert {r["doc_id"]: r["n_tokens"] for r in separators.token_counts(given(spark)).collect()} == want
 
 
-# 9 suffixes ---------------------------------------------------------------------------------------------------------------
+# 9 suffixes
 @settings(max_examples=80, deadline=None)
 @over(st.lists(st.integers(1, 3), min_size=1, max_size=60), st.integers(1, 9))
 def test_bounded_lcp(text, bound):
@@ -326,7 +326,7 @@ def test_without_broadcast(spark, monkeypatch):
     assert sorted(map(str, lines.duplicate_lines(docs).collect())) == sorted(map(str, b)) and b
 
 
-# 10 lines -----------------------------------------------------------------------------------------------------------------
+# 10 lines
 def brute_lines(docs):
     occ = collections.defaultdict(list)
     for i, t in docs:
