@@ -89,7 +89,7 @@ _TABLE = {
 }
 
 #: rule -> phrases in order
-PHRASES: dict[str, tuple[str, ...]] = {rule: tuple(sorted(table, key=table.__getitem__)) for rule, table in _TABLE.items()}
+PHRASES = {rule: tuple(sorted(table, key=table.__getitem__)) for rule, table in _TABLE.items()}
 
 ABSTRACT_NOUNS = tuple(
     sorted(

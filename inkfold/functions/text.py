@@ -64,7 +64,7 @@ def nfc(c: Column) -> Column:
 
 
 INVISIBLE = "﻿​‌‍­  �" + "".join(map(chr, [*range(0, 9), 11, 12, *range(14, 32), 127]))
-PUNCTUATION = "!?.,;:-~"
+BREAK = "\n" * 2
 
 
 def clean_text(c: Column, *, compose: bool = True) -> Column:
@@ -73,10 +73,9 @@ def clean_text(c: Column, *, compose: bool = True) -> Column:
     t = F.translate(t, INVISIBLE, "")
     t = F.regexp_replace(t, r"\r\n?", "\n")
     t = rstrip_lines(t)
-    t = F.regexp_replace(t, r"(?<!\n)\n(?!\n)", "\n\n")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    t = F.regexp_replace(t, "\n+", BREAK)  # lone line ends are promoted and long gaps shortened: either way two remain
     t = F.regexp_replace(t, r"[ \t]{2,}", " ")
-    t = F.regexp_replace(t, r"([!?.,;:\-~])\1{4,}", "$1$1$1")
+    t = F.regexp_replace(t, r"([~;:,.?!-])\1{4,}", "$1$1$1")
     return strip(t)
 
 

@@ -60,7 +60,7 @@ def neighbours(df: DataFrame, text: str = "text") -> DataFrame:
 
 TECHNIQUES = {"half_comparison": (-1, 2), "lazy_pronoun": (0, 3), "redundant_modifier": (1, 3), "sentence_tail": (1, 3), "short_sentence_break": (0, 3), "understatement": (0, 3)}
 #: the order in which a prompt lists them
-TECHNIQUE_ORDER = ("understatement", "lazy_pronoun", "half_comparison", "sentence_tail", "redundant_modifier", "short_sentence_break")
+TECHNIQUE_ORDER = tuple("understatement lazy_pronoun half_comparison sentence_tail redundant_modifier short_sentence_break".split())
 
 
 def technique_budget(n_words: Column, score: Column | None = None) -> Column:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 KEY = "rewrite"
 _DECODER = json.JSONDecoder()
 _STRICT = re.compile(rf'"{KEY}"\s*:\s*"((?:\\.|[^"\\])*)"', re.S)
-_GREEDY = re.compile(rf'"{KEY}"\s*:\s*"(.+)"\s*\}}', re.S)
+_FIELD = rf'"{KEY}"\s*:\s*'
+_GREEDY = re.compile(_FIELD + r'"(.+)"' + r"\s*\}", re.S)
 _OPEN = re.compile(rf"[\"']?{KEY}[\"']?\s*:\s*", re.I)
 _REMARK = re.compile(
     r"\b(?:"
@@ -26,9 +27,11 @@ _REMARK = re.compile(
     + r")\b",
     re.I,
 )
-_MARKERS = ("Rewritten:", "Paraphrased text:", "Corrected rewrite:", "Rewritten text:")
+_MARKERS = tuple(f"{label}:" for label in ("Rewritten", "Paraphrased text", "Corrected rewrite", "Rewritten text"))
+_FENCE = "`" * 3
 _END = ".!?。！？"
 _CUT = re.compile(rf"(?<=[{_END}])\s+")
+_PARAGRAPH = re.compile("\n\\s*\n")
 _DOUBLE, _SINGLE = "\"“”", "'‘’"
 
 
@@ -57,9 +60,11 @@ def loose_string(value: str) -> str:
         return value
 
 
-def without_fence(text: str) -> str:
-    text = re.sub(r"^```(?:json)?\s*", "", text.strip(), flags=re.I)
-    return re.sub(r"\s*```$", "", text).strip()
+def without_fence(answer: str) -> str:
+    text = answer.strip()
+    if text.startswith(_FENCE):
+        text = text[3:].lstrip() if text[3:7].lower() != "json" else text[7:].lstrip()
+    return text.removesuffix(_FENCE).strip()
 
 
 def by_pattern(text: str) -> str | None:
@@ -84,7 +89,7 @@ def cut_off(text: str) -> str | None:
         return None
     tail = raw[m.end() :].lstrip()
     tail = tail[1:] if tail[:1] in ("'", '"') and tail else tail
-    tail = re.sub(r"[\s,]*\}+\s*$", "", re.sub(r"\s*```\s*$", "", tail)).strip()
+    tail = re.sub(r"[\s,]*\}+\s*$", "", tail.rstrip().removesuffix(_FENCE)).strip()
     return loose_string(tail) or None
 
 
@@ -113,7 +118,7 @@ def clean(answer: str, source: str) -> str:
             text = text.partition(marker)[2].strip()
     if not text:
         return src
-    paras = [p.strip() for p in re.split(r"\n\s*\n+", text) if p.strip()]
+    paras = list(filter(None, map(str.strip, _PARAGRAPH.split(text))))
     if paras:
         text = paras[0] if any(map(_REMARK.search, paras[1:])) else "\n\n".join(paras)
     text = " ".join(until_remark([x.strip() for x in text.splitlines() if x.strip()])) or text

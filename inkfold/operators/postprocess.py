@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, S, let, rstrip_lines, tokens
+from ..functions.text import BREAK, SPACE, S, let, rstrip_lines, tokens
 
 
 def fix_punctuation(c: Column) -> Column:
@@ -21,7 +21,7 @@ def fix_punctuation(c: Column) -> Column:
 
 def fix_whitespace(c: Column) -> Column:
     t = F.regexp_replace(c, f"[{SPACE}&&[^\\n]]{{2,}}", " ")
-    return F.regexp_replace(rstrip_lines(t), r"\n{3,}", "\n\n")
+    return F.regexp_replace(rstrip_lines(t), "\n\n\n+", BREAK)
 
 
 def fix_curly_quotes(c: Column) -> Column:
@@ -35,7 +35,7 @@ def fix_emojis(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, EMOJI, ""), "  +", " ")
 
 
-BOLD = r"\*\*([^*]+)\*\*"
+BOLD = r"\*{2}([^*]+)\*{2}"
 BOLD_MOST = 3
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULT, Config
 
-LEVELS = ("critical", "high", "medium", "low", "clean")
+LEVELS = tuple("critical high medium low clean".split())
 
 
 def _count(violations: Column, level: str) -> Column:
@@ -78,7 +78,7 @@ def rollup_by_category(sentences: DataFrame) -> DataFrame:
     return each.rollup("category", "rule_id").agg(F.count("*").alias("n"))
 
 
-NEW_FAMILIES = ("content.", "artifact.", "style.", "struct.tailing_negation")
+NEW_FAMILIES = (*(f"{family}." for family in "artifact content style".split()), "struct.tailing_negation")
 
 
 def split_by_family(sentences: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ ALL_SQL = planted.plant_sql(planted.ALL)
 PLAIN_SQL = "SELECT doc_id, text FROM documents"
 r4 = lambda c: F.round(c, 4)
 
-# splitting ---------------------------------------------------------------------------------------------------------------
+# splitting
 
 
 @query("sentence_split", f"SELECT doc_id, idx, text, {sql.words('text')} AS n_words FROM ({sql.sentences(PLAIN_SQL)})")
@@ -102,7 +102,7 @@ def _(spark, d):
     return own.select("doc_id", F.size("s").alias("n_new"), splitting.align(F.col("s"), F.lit(5)).alias("aligned"))
 
 
-# rules -------------------------------------------------------------------------------------------------------------------
+# rules
 
 
 def _rule_query(rule: str) -> None:
@@ -161,7 +161,7 @@ def _(spark, d):
     return rules.analyze(all_planted(spark, d)).select("doc_id", "idx", F.posexplode("violations").alias("pos", "v")).select("doc_id", "idx", "pos", "v.*")
 
 
-# grading -----------------------------------------------------------------------------------------------------------------
+# grading
 
 _HIST = ", ".join(f"count(*) FILTER (WHERE rule_severity = '{s}') AS n_{s}" for s in severity.LEVELS)
 
@@ -245,7 +245,7 @@ def _(spark, d):
     return analysis.graded(turns).join(turns.select("doc_id", "role"), "doc_id").groupBy("role", "rule_severity").agg(F.count("*").alias("n"))
 
 
-# cleaning and post-processing -----------------------------------------------------------------------------------------------
+# cleaning and post-processing
 
 
 @query("clean_text", f"SELECT doc_id, {sql.clean_text('text')} AS text FROM ({planted.plant_sql(planted.CLEAN)})")
@@ -285,7 +285,7 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", F.coalesce(problem(F.col("text"), replace(DEFAULT, max_chars=5000)), F.lit("accepted")).alias("verdict"))
 
 
-# decisions ----------------------------------------------------------------------------------------------------------------
+# decisions
 
 _CAND_SQL = (
     "SELECT doc_id, ord, CAST(3 + (doc_id * 7 + ord * 13) % 60 AS INTEGER) AS words, CAST(10 + (doc_id * 3) % 40 AS INTEGER) AS source_words, ((doc_id * 37 + ord * 11) % 100) / 100.0::DOUBLE AS ai_score, "
@@ -397,7 +397,7 @@ def _(spark, d):
     return decisions.evaluate(candidates(spark, d).select(F.col("ai_score").alias("orig"), F.col("sem").alias("final"), "sem", F.col("ord").alias("genre"), (F.col("words") % 3).alias("genre_expected")))
 
 
-# similarity ---------------------------------------------------------------------------------------------------------------
+# similarity
 
 _VEC = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"
 
@@ -422,7 +422,7 @@ def _(spark, d):
     return own.select("doc_id", F.round(similarity.text_similarity(F.col("text"), postprocess.fix_punctuation(F.upper("text"))), 5).alias("sim"))
 
 
-# model outputs, prompts ------------------------------------------------------------------------------------------------------
+# model outputs, prompts
 
 GENRE_ANSWERS = ["academic", "  Narrative. it is", "CASUAL!", "persuasive, mostly", "poem", "", "\"professional\"", "Academic: yes"]
 
@@ -504,7 +504,7 @@ def _(spark, d):
     return analysis.optimize(all_planted(spark, d).where("doc_id % 10 = 0"))
 
 
-# events -------------------------------------------------------------------------------------------------------------------
+# events
 
 
 @query("events_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

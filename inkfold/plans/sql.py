@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.lexicon import ABSTRACT_NOUNS, ANYWHERE, BOUNDED, COLLOQUIAL, PARTICIPLES, PHRASES, RULES
 from ..functions.text import quote
+from ..operators.severity import LEVELS
 from .planted import sql_literal
 
 W = r"[\p{L}\p{N}_]"
@@ -31,17 +32,19 @@ def matches(x: str, pattern: str) -> str:
     return f"len(regexp_extract_all({x}, {lit(pattern)}))"
 
 
+_TO = r"(?:to\s+)?"
+_AUXILIARY = "|".join(sorted("was were been being is are".split()))
 _DET = "(?:no|the|an|a|its|their|our|my|his|her)?"
 _ITEM = r"[\p{L}\p{N}_\s-]{3,40}"
 PATTERNS = {
     "punct.semicolon": ";",
     "punct.colon_overuse": r":\s+[a-z]",
-    "struct.not_x_but_y": rf"(?i)\bnot\s+(?:to\s+)?[\p{{L}}\p{{N}}_\s,]+,\s*but\s+(?:to\s+)?{W}|\brather\s+than\s+{W}|\bnot\s+because\b",
+    "struct.not_x_but_y": rf"(?i)\bnot\s+{_TO}[\s\p{{L}}\p{{N}},_]+,\s*but\s+{_TO}{W}|\brather\s+than\s+{W}|\bnot\s+because\b",
     "struct.triple_parallel": rf"(?i){_DET}\s*{_ITEM},\s*{_DET}\s*{_ITEM},\s*and\s+{_DET}\s*{_ITEM}",
     "struct.tailing_negation": rf",\s+no\s+{W}+(?:\s+{W}+){{0,2}}[.!?]\s*$",
     "content.superficial_ing": rf"(?i),\s*(?:{'|'.join(PARTICIPLES)})\b",
 }
-PASSIVE = rf"(?i)\b(?:was|were|been|being|is|are)\s+{W}+(?:ed|en)\b"
+PASSIVE = rf"(?i)\b(?:{_AUXILIARY})\s+{W}+(?:ed|en)\b"
 
 
 def count(rule: str, x: str = "text") -> str:
@@ -94,7 +97,7 @@ SENTENCE_RULES = [r.id for r in sorted(RULES.values(), key=lambda r: r.order) if
 def graded(src: str) -> str:
     """WITH clauses src, s, c (counts r1..r24 a sentence), v (with rule_severity)."""
     counts = ", ".join(f"CAST({count(r)} AS INTEGER) AS r{RULES[r].order}" for r in SENTENCE_RULES)
-    by = {lev: " + ".join(f"r{r.order}" for r in RULES.values() if r.severity == lev) for lev in ("critical", "high", "medium", "low")}
+    by = {lev: " + ".join(f"r{r.order}" for r in RULES.values() if r.severity == lev) for lev in LEVELS[:-1]}
     return f"""WITH src AS ({src}), s AS MATERIALIZED ({sentences('SELECT * FROM src')}),
  u AS ({rhythm()}), p AS ({passive()}), d AS ({deficits()}),
  c AS MATERIALIZED (SELECT s.doc_id, s.idx, s.text, {words('s.text')} AS n_words, {counts.replace('(text', '(s.text')},
@@ -148,7 +151,8 @@ def fix_excessive_bold(x: str) -> str:
 
 
 def fix_inline_header_lists(x: str) -> str:
-    return rf"regexp_replace({x}, '(?m)^(\s*[-*]\s+)\*\*([^*:]+):?\*\*:?\s*', '\1\2 ', 'g')"
+    mark, bullet = r"\*{2}", r"(\s*[*-]\s+)"
+    return rf"regexp_replace({x}, '(?m)^{bullet}{mark}([^:*]+):?{mark}:?\s*', '\1\2 ', 'g')"
 
 
 def clean_text(x: str) -> str:

@@ -59,6 +59,15 @@ def write_results(df: DataFrame, path: str, drop: tuple[str, ...] = ("input_text
 RETRIED = frozenset({429, 500, 502, 503, 504})
 
 
+def _object(data: str) -> dict:
+    """A JSON object, or an empty one."""
+    try:
+        found = json.loads(data)
+    except ValueError:
+        found = None
+    return found if isinstance(found, dict) else {}
+
+
 @dataclass
 class HttpRewriter:
     """One request a call to a chat endpoint; connection errors and overload are tried once more."""
@@ -74,7 +83,7 @@ class HttpRewriter:
 
     def payload(self, prompt: str, temperature: float) -> dict:
         body = {"model": self.model, "temperature": temperature, "max_tokens": self.max_tokens}
-        return body | ({"prompt": prompt} if self.kind == "completion" else {"messages": [{"role": "user", "content": prompt}]})
+        return body | ({"prompt": prompt} if self.kind == "completion" else {"messages": [dict(content=prompt, role="user")]})
 
     def auth_headers(self) -> dict:
         own = {"bearer": {"Authorization": f"Bearer {self.key}"}, "x-api-key": {"x-api-key": self.key}, "raw": {"Authorization": self.key}}
@@ -102,12 +111,9 @@ class HttpRewriter:
                 plain.append(line)
                 continue
             data = line[5:].strip()
-            if data == "[DONE]":
+            if "[DONE]" == data:
                 break
-            try:
-                event = json.loads(data)
-            except ValueError:
-                continue
+            event = _object(data)
             delta = (event.get("choices") or [{}])[0].get("delta", {}).get("content") or event.get("delta", {}).get("text")
             out.append(delta or "")
         if not out and any(plain):

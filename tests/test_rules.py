@@ -113,7 +113,7 @@ def test_fusion_bounds(spark):
 
 
 def test_scores_and_heat(spark):
-    scores = [0.30, 0.85, 0.25, 0.90, 0.35, 0.80, 0.20, 0.75]
+    scores = [0.9, 0.2, 0.7, 0.3, 0.8, 0.1, 0.6, 0.4]
     text = " ".join(f"Sentence number {i} is here." for i in range(10))
     df = spark.createDataFrame([(1, text), (2, "Alone.")], "doc_id long, text string")
     own = analysis.scored(df, score=F.element_at(F.array(*map(F.lit, scores)), F.pmod("idx", F.lit(8)) + 1))
