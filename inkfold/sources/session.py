@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the Python workers once per application, where it isn't installed for them."""
-    sc = spark.sparkContext
-    if getattr(sc, "_inkfold_shipped", False):
-        return spark
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="inkfold-ship-")  # on the driver alone, which serves it to executors
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    root = os.path.join(folder, "src")
-    shutil.copytree(package, os.path.join(root, package.name), ignore=shutil.ignore_patterns("__pycache__"))
-    sc.addPyFile(shutil.make_archive(os.path.join(folder, package.name), "zip", root))
-    sc._inkfold_shipped = True
+    """Let Python workers find this package where it lies.
+
+    That is enough wherever workers see the driver's files.  On a cluster of other machines install the package there or pass it
+    with --py-files; nothing is copied from here.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
