@@ -183,28 +183,30 @@ def link(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def link_anchor(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The same for the rows at one anchor, by blocks of a matrix of differences: most rows have no partner at all."""
+def link_anchor(fps: np.ndarray, k: int, first: int = 0) -> list[tuple[int, int]]:
+    """The same for the rows at one anchor, by blocks of a matrix of differences: most rows have no partner at all.
+
+    Pairs are judged by the long ``first``, best one whose blocks aren't the anchor's, and the few that are left by all longs.
+    """
     n = len(fps)
     if n < 2:
         return []
-    pairs = []
-    step = max(1, (1 << 18) // n)
+    cols = [np.ascontiguousarray(fps[:, c]) for c in (first, *(c for c in range(fps.shape[1]) if c != first))]
+    step = max(1, (1 << 17) // n)
     touched = np.zeros(n, bool)
     for i in range(0, n, step):
-        part = fps[i : i + step]
-        d = np.bitwise_count(part[:, None, 0] ^ fps[None, i:, 0])
-        for c in range(1, fps.shape[1]):
-            d += np.bitwise_count(part[:, None, c] ^ fps[None, i:, c])
-        a, b = np.nonzero(d <= k)
+        d = np.bitwise_count(cols[0][i : i + step, None] ^ cols[0][None, i:])
+        a, b = np.divmod(np.flatnonzero(d <= k), n - i)
         ok = b > a
-        touched[i + a[ok]] = True
-        touched[i + b[ok]] = True
-        del d
+        a, b = a[ok] + i, b[ok] + i
+        total = np.zeros(len(a), np.int64)
+        for c in cols:
+            total += np.bitwise_count(c[a] ^ c[b])
+        hit = total <= k
+        touched[a[hit]] = True
+        touched[b[hit]] = True
     rows = np.flatnonzero(touched)
-    for a, b in link(fps[rows], k):
-        pairs.append((int(rows[a]), int(rows[b])))
-    return pairs
+    return [(int(rows[a]), int(rows[b])) for a, b in link(fps[rows], k)]
 
 
 def near_groups(docs: DataFrame, k: int = K, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,7 +249,8 @@ def near_groups(docs: DataFrame, k: int = K, blocks: int = BLOCKS, id_col: str =
         cut = np.append(np.flatnonzero(np.diff(anchor, prepend=-1)), len(anchor))
         u, v = [], []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            for x, y in link_anchor(f[a:b], k):
+            own_long = int(anchor[a]) % blocks // 2
+            for x, y in link_anchor(f[a:b], k, (own_long + 1) % longs):
                 u.append(n[a + x]), v.append(n[a + y])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
