@@ -4,15 +4,19 @@ Fingerprint: BLOCKS blocks of 23 bits of a SimHash over the distinct words of a
 fingerprints differ in at most K bits; a group is a connected component of that relation.
 
 Anchors: the words of the perfect binary Golay code, of length 23, dimension 12 and covering radius R = 3: every 23-bit word is
-within 3 of exactly one anchor.  If two fingerprints differ in at most K bits, they differ in at most t = K // BLOCKS in some
-block.  Halfway between the two block words lies a word within ceil(t / 2) of both, and its anchor is within R + ceil(t / 2) of both.
-So a fingerprint is replicated, for each block, to every anchor within the covering radius plus half the block's threshold (rounded
-up), and all that meet at an anchor are compared over all bits: no pair is missed.
+within 3 of exactly one anchor.  Block b has an even threshold t_b, and the sum of all t_b + 1 is above K: fingerprints that differ
+in more than t_b bits in every block differ in more than K.  So two that differ in at most K bits have a block with at most t_b.
+Halfway between the two block words lies a word within t_b / 2 of both, and its anchor is within R + t_b / 2 of both.  A fingerprint
+is replicated, for each block, to every anchor within that radius, and all that meet at an anchor are compared over all bits: no
+pair is missed.
 
-Cost: 5.3 anchors on average lie within 4 of a word, so a fingerprint has 5.3 * BLOCKS replicas whatever the table; equal
-fingerprints are folded to one before.  Where a group of n copies meets, each pivot is compared with those not reached yet.
-Comparisons of unrelated fingerprints at an anchor grow with the square of the table, over 4096 * BLOCKS anchors: the price of
-finding all pairs at 12 % of the bits.  A smaller K needs fewer replicas: below BLOCKS the radius is R and a word has one anchor.
+K is chosen by recall of near copies (Jaccard of word sets from 0.8), not by cost; the README has the figures.
+
+Cost: 5.3 anchors on average lie within 4 of a word and 21.8 within 5; for K = 23 three blocks need either, so a fingerprint has 81
+replicas whatever the table; equal fingerprints are folded to one before.  Where a group of n copies meets, each pivot is compared
+with those not reached yet.  Comparisons of unrelated fingerprints at an anchor grow with the square of the table, over
+4096 * BLOCKS anchors: the price of finding all pairs at 17 % of the bits.  A smaller K needs fewer replicas: below BLOCKS the
+radius is R and a word has one anchor.
 
 Defined results: null and empty texts and texts without a word belong to no group and stay; equal texts and repeated rows are one
 group, of which the row with the least (doc_id, text hash), null ids last, stays, once.
@@ -29,7 +33,7 @@ from .common import ID, KEY, TEXT, as_long, keyed, map_arrow, mix, ranges, row_s
 from .components import components
 
 BLOCKS = 6
-K = 17
+K = 23
 BITS = 23
 RADIUS = 3
 _MASK = np.uint64(0x0001000100010001)
@@ -116,6 +120,12 @@ def cover(radius: int) -> Cover:
     return _covers[radius]
 
 
+def radii(k: int, blocks: int) -> list[int]:
+    """The radius of each block; the thresholds t = 2 * (radius - RADIUS) are as even as sum(t + 1) > k allows."""
+    halves = -(-max(0, k + 1 - blocks) // 2)
+    return [RADIUS + halves // blocks + (b < halves % blocks) for b in range(blocks)]
+
+
 # fingerprints
 def fingerprint(data: np.ndarray, offs: np.ndarray, blocks: int = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
     """(rows x blocks matrix of 23-bit words, whether the row has words) of consecutive texts; each distinct word has one vote."""
@@ -213,7 +223,7 @@ def near_groups(docs: DataFrame, k: int = K, blocks: int = BLOCKS, id_col: str =
     """(ID, KEY, fp, rep_id, rep_key, n_rows): the group of each distinct (id, text) that has words, by its representative."""
     longs = -(-blocks // 2)
     cols = [f"f{i}" for i in range(longs)]
-    radius = RADIUS + -(-(k // blocks) // 2)
+    radius = radii(k, blocks)
 
     def prints(b: pa.RecordBatch) -> pa.RecordBatch:
         data, offs, _ = strings(b.column(TEXT))
@@ -227,13 +237,12 @@ def near_groups(docs: DataFrame, k: int = K, blocks: int = BLOCKS, id_col: str =
     distinct = own.groupBy(*cols).agg(F.count("*").alias("n")).select(*cols, node)
 
     def replicate(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = cover(radius)
         f = [b.column(x).to_numpy() for x in cols]
         n = np.asarray(b.column("node"))
         rows, keys = [], []
         for j in range(blocks):
             w = (f[j // 2] >> (BITS * (j % 2))) & ((1 << BITS) - 1)
-            row, anchor = c.anchors(w)
+            row, anchor = cover(radius[j]).anchors(w)
             rows.append(row), keys.append(anchor * blocks + j)
         at = np.concatenate(rows)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), pa.array(n[at]), *(pa.array(x[at]) for x in f)], ["anchor", "node", *cols])
