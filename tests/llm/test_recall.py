@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from inkfold.llm import simhash
+from inkfold.llm import credentials, simhash
 from inkfold.llm.common import strings
 
 from .common import DIR, HAVE, union_find
@@ -41,3 +41,23 @@ def test_near_copies_by_text(spark):
             real.append((a, b))
     assert len(real) > 20 and sum(find(a) == find(b) for a, b in real) >= 0.97 * len(real)
     assert unlike <= 0.001 * linked
+
+
+# 2 secrets
+def test_secrets_joined_to_other_text(spark):
+    kinds = ("aws_access_key", "github_token", "slack_token", "stripe_key", "google_api_key", "json_web_token")
+    values = [(v, k) for v, k in credentials.labelled_examples(20, seed=99) if k in kinds]
+    frames = ("GITHUB_TOKEN={}", "export AWS_ACCESS_KEY_ID={} now", "https://{}@host.example", "see hook/{}", "name.{}/path/to/a/page", "x-{}", "a={}.")
+    text = "reading the report again we found that nothing unusual had happened during the extraordinary summer holidays of 2019"
+    rows = [(i, f"{text} {frames[i % len(frames)].format(v)} {text}") for i, (v, _) in enumerate(values)]
+    plain = "see https://www.example.com/2019/05/some-long-title-of-a-page.html and LONG_NAME=/usr/local/lib/python3.11/site-packages"
+    docs = spark.createDataFrame([*rows, (1000, f"{text} {plain}")], "doc_id long, text string")
+    found = {(r["doc_id"], rows[r["doc_id"]][1][r["start"] : r["end"]]) for r in credentials.secrets(docs).collect() if r["doc_id"] < 1000}
+    clean = {r["doc_id"]: r["text"] for r in credentials.redact(docs).collect()}
+    gone = [v not in clean[i] for i, (v, _) in enumerate(values)]
+    assert sum(gone) >= 0.95 * len(gone) and sum((i, v.rstrip(".")) in found for i, (v, _) in enumerate(values)) >= 0.9 * len(gone)
+    assert clean[1000] == f"{text} {plain}"
+
+
+def test_best_parts_do_not_overlap():
+    assert credentials.apart([(0, 20, 1, 30.0), (5, 20, 2, 40.0), (21, 40, 1, 25.0), (20, 21, 0, 1.0)]) == [(5, 20, 2, 40.0), (20, 21, 0, 1.0), (21, 40, 1, 25.0)]
