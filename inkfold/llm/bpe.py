@@ -7,7 +7,8 @@ characters that are not white space: the pattern allows a space only as the firs
 space, and here the run is that space.  Where there is none, the window grows to the whole half.  Elements (text, tokens) thus
 form a monoid under joining, and any tree gives the tokens of the whole text.  Decoding concatenates tokens' bytes up a tree.
 
-Defined results: null text has null tokens, empty text none; repeated rows and null ids are encoded like any other.
+Defined results: null text has null tokens, empty text none; texts of any length are encoded whole; repeated rows and null ids are
+encoded like any other; an empty table gives no rows.  Other columns, whatever their names, are of no account.
 """
 
 from __future__ import annotations
@@ -51,6 +52,10 @@ class Codec:
     def leaf(self, text: str) -> np.ndarray:
         return np.array(self.bpe.encode_ordinary(text), np.int32)
 
+    def count(self, text: str) -> int:
+        """The number of tokens."""
+        return len(self.bpe.encode_ordinary(text)) if len(text) <= LEAF_CHARS else len(self.encode(text))
+
     def encode(self, text: str, leaf_chars: int = LEAF_CHARS) -> np.ndarray:
         if len(text) <= leaf_chars:
             return self.leaf(text)

@@ -9,7 +9,9 @@ Row identity
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,13 +30,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, ``spark.checkpoint.dir``; where it is unset, as in tests on one machine, a temporary one.
+
+    On a cluster a folder of one machine wouldn't do, so there the setting has to be given.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="inkfold-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="inkfold-")
+        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -48,8 +53,10 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, text: bool = True) -> DataFrame:
     """(ID, KEY[, TEXT]) of each row; nothing else of the input can clash."""
-    cols = [docs[id_col].cast("long").alias(ID), F.xxhash64(docs[text_col]).alias(KEY)]
-    return docs.select(*cols, docs[text_col].alias(TEXT)) if text else docs.select(*cols)
+    placed = by_place(docs)
+    body = placed[place_of(docs, text_col)]
+    cols = [placed[place_of(docs, id_col)].cast("long").alias(ID), F.xxhash64(body).alias(KEY)]
+    return placed.select(*cols, body.alias(TEXT)) if text else placed.select(*cols)
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,13 +99,24 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], name
     return df.toDF(*[f"_c{i}" for i in range(len(kinds))]).mapInArrow(run, schema).toDF(*names)
 
 
-def quoted(name: str):
-    return F.col("`" + name.replace("`", "``") + "`")
+def by_place(docs: DataFrame) -> DataFrame:
+    """The table with columns named by place, whatever their names, repeated ones too."""
+    return docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+
+
+def place_of(docs: DataFrame, name: str) -> str:
+    """The name by_place gives a column; of repeated names the first column is meant."""
+    return f"_c{docs.columns.index(name)}"
 
 
-def row_struct(docs: DataFrame):
-    """All columns of the input as one, so that none can clash."""
-    return F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("row")
+def row_struct(placed: DataFrame):
+    """All columns of a table of by_place() as one, so that none can clash."""
+    return F.struct(*placed.columns).alias("row")
+
+
+def row_order(placed: DataFrame):
+    """An order of rows by all their columns: rows that are equal in it are equal throughout."""
+    return F.to_json(F.struct(*placed.columns), {"ignoreNullFields": "false"})
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -128,10 +146,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _ODD, _INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
@@ -147,30 +161,103 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+#: code points from here on are no letters that text is written in
+LAST = 0x32400
+SEPARATOR, WORD, SINGLE = 0, 1, 2
+#: scripts written without spaces (kana, Han, Thai, Lao, Khmer, Myanmar): each of their characters is a word
+_UNSPACED_RANGES = (
+    (0x0E01, 0x0E5B), (0x0E81, 0x0EDF), (0x1000, 0x109F), (0x1780, 0x17F9), (0x19E0, 0x19FF), (0x2E80, 0x2FD5), (0x3005, 0x3007), (0x3021, 0x3029), (0x3038, 0x303B),
+    (0x3041, 0x3096), (0x309D, 0x309F), (0x30A1, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FE), (0xAA60, 0xAA7F), (0xF900, 0xFAD9), (0xFF66, 0xFF9D),
+    (0x1B000, 0x1B167), (0x20000, 0x323AF),
+)
+_tables: list[np.ndarray] = []
+
+
+def _unicode() -> tuple[np.ndarray, np.ndarray]:
+    """(class, lower case) of each code point; lower case only where it takes as many bytes."""
+    if not _tables:
+        kind, low = np.zeros(LAST, np.uint8), np.arange(LAST, dtype=np.int32)
+        for cp in range(LAST):
+            ch = chr(cp)
+            if unicodedata.category(ch)[0] in "LNM":
+                kind[cp] = WORD
+            to = ch.lower()
+            if to != ch and len(to) == 1 and not 0xD800 <= cp < 0xE000 and len(to.encode()) == len(ch.encode()):
+                low[cp] = ord(to)
+        for a, b in _UNSPACED_RANGES:
+            kind[a : b + 1] *= SINGLE  # what is a letter, number or mark there
+        _tables.extend((kind, low))
+    return _tables[0], _tables[1]
+
+
+def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, code point, bytes) of the characters beyond ASCII."""
+    at = np.flatnonzero(buf >= 0xC2)
+    if not len(at):
+        return at, at, at
+    pad = np.concatenate([buf, np.zeros(3, np.uint8)])
+    first = pad[at].astype(np.int32)
+    one, two, three = (pad[at + k].astype(np.int32) & 63 for k in (1, 2, 3))
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    cp = np.where(size == 2, (first & 31) << 6 | one, np.where(size == 3, (first & 15) << 12 | one << 6 | two, (first & 7) << 18 | one << 12 | two << 6 | three))
+    return at, np.minimum(cp, LAST - 1), size
+
+
+def _put(out: np.ndarray, at: np.ndarray, size: np.ndarray, values: np.ndarray) -> None:
+    """The same value for all bytes of characters."""
+    for k in range(4):
+        m = (size > k) & (at + k < len(out))
+        out[at[m] + k] = values[m]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ASCII_WORD = np.zeros(256, np.uint8)
+_ASCII_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = WORD
+
+
 def fold_case(buf: np.ndarray) -> np.ndarray:
-    """A lower-case copy: ASCII and the Latin-1 letters."""
+    """A lower-case copy of the same length, in all scripts."""
     low = _LOWER[buf]
-    if len(low) > 1:
-        up = (low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)
-        low[1:][up] += 32
+    at, cp, size = code_points(buf)
+    if len(at):
+        to = _unicode()[1][cp]
+        m = to != cp
+        at, to, size = at[m], to[m], size[m]
+        for n, lead in ((2, 0xC0), (3, 0xE0), (4, 0xF0)):
+            p, c = at[size == n], to[size == n]
+            low[p] = lead | c >> (6 * (n - 1))
+            for k in range(1, n):
+                low[p + k] = 0x80 | (c >> (6 * (n - 1 - k)) & 63)
     return low
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offs: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of consecutive texts: start and end byte, 64-bit hash, and the number of the first word of each text.
 
-    A word is a run of ASCII letters and digits and of non-ASCII bytes, case folded.  ``offs`` starts at 0.
+    A word is a run of letters, numbers and marks of any script, case folded; a character of a script written without spaces is a
+    word of its own.  ``offs`` starts at 0; ``low`` is fold_case(buf), if there is one already.
     """
-    low = fold_case(buf)
+    low = fold_case(buf) if low is None else low
+    kind = _ASCII_WORD[low]
+    at, cp, size = code_points(low)
+    own = _unicode()[0][cp] if len(at) else at
+    if len(at):
+        _put(kind, at, size, own)
     inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = _WORD[low]
+    inside[1:-1] = kind > 0
     step = np.diff(inside)
     cut = offs[1:-1]
-    cut = cut[(cut > 0) & (cut < len(buf))]
-    both = np.unique(cut[(inside[cut] == 1) & (inside[cut + 1] == 1)])  # a text ends and the next begins inside a run
+    border = [cut[(cut > 0) & (cut < len(buf))]]  # a text ends and the next begins inside a run
+    if len(at) and (own == SINGLE).any():
+        m = own == SINGLE
+        border += [at[m], (at + size)[m]]
+    border = np.unique(np.concatenate(border))
+    border = border[(border > 0) & (border < len(buf))]
+    border = border[(inside[border] == 1) & (inside[border + 1] == 1)]
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    if len(both):
-        start, end = np.sort(np.concatenate([start, both])), np.sort(np.concatenate([end, both]))
+    if len(border):
+        start, end = np.sort(np.concatenate([start, border])), np.sort(np.concatenate([end, border]))
     return start, end, span_hash(low, start, end), np.searchsorted(start, offs)
 
 

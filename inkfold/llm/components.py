@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from .common import table
 
 
-def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for all nodes of ``edges(u, v)``; the root is the least node of the component.
 
     Alternating large-star and small-star steps (find and link of union-find, on all nodes at once): each step is a
     pre-aggregated minimum per node and a join, so no component has to fit in one task.  Each round is written to the shared
-    folder.  Ends when every edge points at a root.  Self-loops keep a node present.  No edges: no rows.
+    folder.  Ends when every edge points at a root, after a number of rounds that grows
+    with the square of the logarithm of the nodes at most.  Self-loops keep a node present.  No edges: no rows.
     """
     e = table(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u is not null and v is not null").distinct(),
         name,
     )
-    for _ in range(most_rounds):
+    while True:
         # large star: neighbours above a node move to its least neighbour
         both = e.where("u != v").select("u", "v").unionByName(e.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -37,4 +38,3 @@ def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
             alone = e.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("root")).join(nodes.unionByName(roots), "node", "left_anti")
             return nodes.unionByName(roots).unionByName(alone)
         e = nxt.unionByName(e.where("u = v"))
-    raise RuntimeError("connected components didn't settle")

@@ -1,11 +1,13 @@
 """Document fingerprints by a homomorphic multiset hash.
 
-Each paragraph (a line, stripped of white space, not empty) is expanded by SHAKE-128 to a wide vector of LANES unsigned words of
-32 bits; a document's fingerprint is the sum of its paragraphs' vectors, lane by lane modulo 2**32.  Sums commute, so documents
-with the same paragraphs in any order are equal, and a paragraph is inserted or deleted by adding or subtracting its vector.
-
-Defined results: null text has a null vector and no paragraphs; empty or blank text the zero vector; repeated rows get equal
-fingerprints each; null ids and other columns are of no account.
+Each paragraph (a line, stripped of white space, not empty) is expanded by SHA-256 to a wide vector of LANES unsigned words of 32
+bits: the SHA-256 of the paragraph, in hexadecimal, is hashed again behind each of the numbers 0 to BLOCKS - 1 and a colon.  A
+document's fingerprint is the sum of its paragraphs' vectors, lane by lane modulo 2**32.  Sums commute, so documents with the same
+paragraphs in any order are equal, and a paragraph is inserted or deleted by adding or subtracting its vector.
+
+Defined results: null text has a null vector, a null digest and no paragraphs; empty or blank text the zero vector; repeated rows get
+equal fingerprints each; a paragraph that occurs twice counts twice; a text of any length is summed whole, 4,096 paragraphs at a time;
+null ids and other columns, whatever their names, are of no account; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from pyspark.sql import DataFrame
 
 from .common import ID, TEXT, keyed, map_arrow
 
-LANES = 64
-WIDTH = 4 * LANES
+BLOCKS = 8
+LANES = 8 * BLOCKS
 SCHEMA = "doc_id long, n_paragraphs int, vector binary, digest string"
 BLANK = b" \t\r\x0b\x0c"
+_PREFIXES = [f"{k}:".encode() for k in range(BLOCKS)]
 
 
 def paragraphs(data: bytes) -> list[bytes]:
@@ -29,19 +32,20 @@ def paragraphs(data: bytes) -> list[bytes]:
 
 
 def expand(paragraph: bytes) -> bytes:
-    return hashlib.shake_128(paragraph).digest(WIDTH)
+    own = hashlib.sha256(paragraph).hexdigest().encode()
+    return b"".join([hashlib.sha256(x + own).digest() for x in _PREFIXES])
 
 
 def fingerprint(data: bytes) -> bytes:
-    total = np.zeros(LANES, "<u4")
+    total = np.zeros(LANES, ">u4")
     for p in paragraphs(data):
-        total += np.frombuffer(expand(p), "<u4")
+        total += np.frombuffer(expand(p), ">u4")
     return total.tobytes()
 
 
 def combine(a: bytes, b: bytes) -> bytes:
     """The fingerprint of both multisets together."""
-    return (np.frombuffer(a, "<u4") + np.frombuffer(b, "<u4")).tobytes()
+    return (np.frombuffer(a, ">u4") + np.frombuffer(b, ">u4")).astype(">u4").tobytes()
 
 
 def insert(vector: bytes, paragraph: bytes) -> bytes:
@@ -49,11 +53,11 @@ def insert(vector: bytes, paragraph: bytes) -> bytes:
 
 
 def delete(vector: bytes, paragraph: bytes) -> bytes:
-    return (np.frombuffer(vector, "<u4") - np.frombuffer(expand(paragraph.strip(BLANK)), "<u4")).tobytes()
+    return (np.frombuffer(vector, ">u4") - np.frombuffer(expand(paragraph.strip(BLANK)), ">u4")).astype(">u4").tobytes()
 
 
 def digest(vector: bytes) -> str:
-    return hashlib.blake2b(vector, digest_size=16).hexdigest()
+    return hashlib.sha256(vector).hexdigest()[:32]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,9 +72,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 counts.append(0), vectors.append(None), digests.append(None)
                 continue
             parts = paragraphs(data)
-            total = np.zeros(LANES, "<u4")
+            total = np.zeros(LANES, ">u4")
             for i in range(0, len(parts), 4096):
-                total += np.frombuffer(b"".join(map(expand, parts[i : i + 4096])), "<u4").reshape(-1, LANES).sum(axis=0, dtype="<u4")
+                total += np.frombuffer(b"".join(map(expand, parts[i : i + 4096])), ">u4").reshape(-1, LANES).sum(axis=0, dtype=np.uint32).astype(">u4")
             counts.append(len(parts)), vectors.append(v := total.tobytes()), digests.append(digest(v))
         return pa.RecordBatch.from_arrays([b.column(ID), pa.array(counts, pa.int32()), pa.array(vectors, pa.binary()), pa.array(digests, pa.string())], ["doc_id", "n_paragraphs", "vector", "digest"])
 
@@ -89,9 +93,9 @@ def merge(fps: DataFrame, *by: str) -> DataFrame:
     schema = f"{fields}, n_paragraphs long, vector binary"
 
     def add(pdf):
-        total = np.zeros(LANES, "<u4")
+        total = np.zeros(LANES, ">u4")
         for v in pdf["vector"]:
-            total += np.frombuffer(v, "<u4")
+            total += np.frombuffer(v, ">u4")
         return pdf[list(by)].iloc[:1].assign(n_paragraphs=int(pdf["n_paragraphs"].sum()), vector=[total.tobytes()])
 
     def partial(frames):
@@ -100,4 +104,4 @@ def merge(fps: DataFrame, *by: str) -> DataFrame:
                 yield add(g)
 
     sums = part.mapInPandas(partial, schema).groupBy(*by).applyInPandas(add, schema)
-    return sums.withColumn("digest", F.lower(F.hex(F.substring(F.sha2("vector", 256).cast("binary"), 1, 32))))
+    return sums.withColumn("digest", F.substring(F.sha2("vector", 256), 1, 32))

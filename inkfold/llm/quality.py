@@ -3,8 +3,9 @@
 The zstandard ratio (compressed by raw bytes) of a whole document, and of each of its fixed chunks, has to lie in a band for its
 length: below it text is repetitive, above it incompressible.  Short text compresses less, so limits depend on the length.
 
-Defined results: null text is ``null`` and empty text ``empty``, both rejected; repeated rows get the same verdict each; null
-ids, other columns and their names are of no account.
+Defined results: null text is ``null`` and empty text ``empty``, both rejected; texts of any length are judged whole; a ratio that is
+equal to a limit is in band; repeated rows get the same verdict each; null ids, other columns and their names, repeated ones too, are
+of no account; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,13 +1,15 @@
 """Token counts by a separator scan of flat, unindexed token files.
 
-A token file is a bare sequence of little-endian unsigned 16-bit ids in which an end-of-document id follows each document.
+A token file is a bare sequence of little-endian unsigned ids, of 16 bits if the vocabulary allows it and else of 32, in which an
+end-of-document id, the first that isn't in the vocabulary, follows each document.
 Blocks of a file are read by byte range and searched at once, as arrays.  A block knows its separators and the tokens before its
 first and after its last one; an exclusive prefix scan over the blocks of a file gives the number of documents and the tokens
 of the unfinished document that each block inherits, which stitches documents together that cross borders.  Scan state is a
 pair under an associative operation, so it is computed on a summary row a block; only separators' distances reach the result.
 
 Defined results: a file of no bytes has no documents; empty documents count 0; tokens after the last separator form a document
-without an end, reported with ``closed`` false; null text is written as an empty document.  A file's length has to be even.
+without an end, reported with ``closed`` false; null text is written as an empty document; a text longer than a block is stitched;
+repeated rows and null ids count like any other.  A file has to be a whole number of ids.  Other columns are of no account.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ from pyspark.sql import functions as F
 from .bpe import codec
 from .common import ID, TEXT, keyed, shared_dir
 
-EOD = 50256
 BLOCK_BYTES = 1 << 20
 
 
+def layout(eod: int) -> str:
+    """The type of the ids of a file in which ``eod`` is the greatest."""
+    return "<u2" if eod < 1 << 16 else "<u4"
+
+
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri) if not uri.startswith("file:") else uri.replace("file:", "file://", 1))
 
@@ -41,6 +47,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str | None = None, id
 
     def run(batches):
         c = codec(vocab)
+        eod, kind = c.size, layout(c.size)
         fs, base = _fs(folder)
         name = f"{uuid.uuid4().hex}.bin"
         fs.create_dir(base, recursive=True)
@@ -50,7 +57,7 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str | None = None, id
                 ids = b.column(ID)
                 for i, text in enumerate(b.column(TEXT)):
                     tokens = c.encode(text.as_py() or "")
-                    out.write(np.append(tokens, EOD).astype("<u2").tobytes())
+                    out.write(np.append(tokens, eod).astype(kind).tobytes())
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(at, at + n)), ids], ["file", "ordinal", "doc_id"])
                 at += n
@@ -60,35 +67,38 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str | None = None, id
     return table(keyed(docs, id_col, text_col).drop("_key").mapInArrow(run, "file string, ordinal long, doc_id long"), "token-index")
 
 
-def blocks(spark: SparkSession, folder: str, files: DataFrame | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks(spark: SparkSession, folder: str, files: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, width: int = 2) -> DataFrame:
     """(file, block, begin, end) byte ranges of all files of a folder, or of those in ``files``."""
     fs, base = _fs(folder)
     found = [(f.base_name, f.size) for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.is_file]
     for name, size in found:
-        if size % 2:
+        if size % width:
             raise ValueError(f"{name}: {size} bytes are no whole number of tokens")
     sizes = spark.createDataFrame(found, "file string, size long")
     if files is not None:
         sizes = sizes.join(files.select("file").distinct(), "file", "left_semi")
-    step = block_bytes // 2 * 2
+    step = max(width, block_bytes // width * width)
     return sizes.where("size > 0").select("file", F.posexplode(F.sequence(F.lit(0), F.expr(f"size - 1"), F.lit(step))).alias("block", "begin"), "size").select("file", F.col("block").cast("long").alias("block"), "begin", F.least(F.col("begin") + step, "size").alias("end"))
 
 
-def scan(spark: SparkSession, folder: str, files: DataFrame | None = None, eod: int = EOD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(spark: SparkSession, folder: str, files: DataFrame | None, eod: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(file, ordinal, begin, n_tokens, closed): every document of the token files with its first token's place and its length."""
     from .common import table
 
+    kind = layout(eod)
+    width = np.dtype(kind).itemsize
+
     def search(batches):
         fs, base = _fs(folder)
         for b in batches:
             for file, block, begin, end in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 with fs.open_input_file(f"{base}/{file}") as f:
-                    ids = np.frombuffer(f.read_at(end - begin, begin), "<u2")
-                at = np.flatnonzero(ids == eod) + begin // 2
-                last = end // 2
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([begin // 2], pa.int64()), pa.array([last], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([int(at[-1]) if len(at) else None], pa.int64()), pa.array([at], pa.list_(pa.int64()))], ["file", "block", "first", "last", "n", "last_at", "at"])
+                    ids = np.frombuffer(f.read_at(end - begin, begin), kind)
+                at = np.flatnonzero(ids == eod) + begin // width
+                last = end // width
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([begin // width], pa.int64()), pa.array([last], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([int(at[-1]) if len(at) else None], pa.int64()), pa.array([at], pa.list_(pa.int64()))], ["file", "block", "first", "last", "n", "last_at", "at"])
 
-    n_blocks = blocks(spark, folder, files, block_bytes)
+    n_blocks = blocks(spark, folder, files, block_bytes, width)
     found = table(n_blocks.repartition("file", "block").mapInArrow(search, "file string, block long, first long, last long, n long, last_at long, at array<long>"), "separators")
     # the prefix scan runs over one narrow row a block
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,5 +122,5 @@ def token_counts(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_i
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     index = write_token_files(docs, folder, vocab, id_col, text_col)
-    counts = scan(spark, folder, index)
+    counts = scan(spark, folder, index, codec(vocab).size)
     return index.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

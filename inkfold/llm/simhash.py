@@ -19,7 +19,9 @@ with those not reached yet.  Comparisons of unrelated fingerprints at an anchor
 radius is R and a word has one anchor.
 
 Defined results: null and empty texts and texts without a word belong to no group and stay; equal texts and repeated rows are one
-group, of which the row with the least (doc_id, text hash), null ids last, stays, once.
+group, of which the row with the least (doc_id, text hash), null ids last, stays, once; of rows that repeat both the first by all
+columns, as JSON.  A text of any length is one fingerprint, of all its words.  An empty table has no groups.  Other columns can have
+any names, repeated ones too.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ID, KEY, TEXT, as_long, keyed, map_arrow, mix, ranges, row_struct, slices, strings, table, whole, words
+from .common import ID, KEY, TEXT, as_long, by_place, keyed, map_arrow, mix, place_of, ranges, row_order, row_struct, slices, strings, table, whole, words
 from .components import components
 
 BLOCKS = 6
@@ -286,15 +288,14 @@ def near_duplicates(docs: DataFrame, k: int = K, blocks: int = BLOCKS, id_col: s
 def near_dedup(docs: DataFrame, k: int = K, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, of which one of each group stays."""
     groups = table(near_groups(docs, k, blocks, id_col, text_col), "simhash-groups")
-    drop = groups.where(~(F.col(ID).eqNullSafe(F.col("rep_id")) & (F.col(KEY) == F.col("rep_key"))))
-    own = docs.select(row_struct(docs), docs[id_col].cast("long").alias(ID), F.xxhash64(docs[text_col]).alias(KEY))
-    gone = drop.select(F.col(ID).alias("gone_id"), F.col(KEY).alias("gone_key"))
+    first = F.col(ID).eqNullSafe(F.col("rep_id")) & (F.col(KEY) == F.col("rep_key"))
+    placed = by_place(docs)
+    own = placed.select(row_struct(placed), row_order(placed).alias("order"), placed[place_of(docs, id_col)].cast("long").alias(ID), F.xxhash64(placed[place_of(docs, text_col)]).alias(KEY))
+    gone = groups.where(~first).select(F.col(ID).alias("gone_id"), F.col(KEY).alias("gone_key"))
     kept = own.join(gone, own[ID].eqNullSafe(gone["gone_id"]) & (own[KEY] == gone["gone_key"]), "left_anti")
-    again = groups.where(F.col(ID).eqNullSafe(F.col("rep_id")) & (F.col(KEY) == F.col("rep_key")) & (F.col("n_rows") > 1)).select(F.col(ID).alias("again_id"), F.col(KEY).alias("again_key"))
-    if again.limit(1).count():  # rows that repeat id and text: one of them stays
-        from pyspark.sql import Window
-
+    again = groups.where(first & (F.col("n_rows") > 1)).select(F.col(ID).alias("again_id"), F.col(KEY).alias("again_key"))
+    if again.limit(1).count():  # rows that repeat id and text: the first by all columns stays
         same = own[ID].eqNullSafe(again["again_id"]) & (own[KEY] == again["again_key"])
-        once = kept.join(again, same, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(ID, KEY).orderBy(F.lit(0)))).where("n = 1").drop("n")
-        kept = kept.join(again, same, "left_anti").unionByName(once)
-    return kept.select("row.*")
+        once = kept.join(again, same, "left_semi").groupBy(ID, KEY).agg(F.min_by("row", "order").alias("row")).select("row")
+        kept = kept.join(again, same, "left_anti").select("row").unionByName(once)
+    return kept.select("row.*").toDF(*docs.columns)

@@ -1,7 +1,7 @@
 """Suffix-array dedup: passages of at least MIN_WORDS words that occur more than once.
 
 A passage is repeated if its MIN_WORDS words occur at another place, in the same or another document; overlapping repeated passages
-of a document are one span.  Words are runs of letters and digits, case folded.
+of a document are one span.  Words are runs of letters, numbers and marks, case folded; characters of scripts without spaces are words.
 
 Distribution.  A window is a place with MIN_WORDS words from it on.  Equal windows contain the same least k-gram (by hash, leftmost),
 so windows are dealt by that k-gram: consecutive windows of a document with one least k-gram form a stretch, sent as a whole.
@@ -15,7 +15,8 @@ extension of length l + 1 whose right border has no value yet sets the common pr
 come in increasing order, and expansion stops at the threshold: borders without a value have common prefixes of at least MIN_WORDS.
 
 Defined results: null texts and texts shorter than MIN_WORDS words have no spans; repeated rows, which are copies of each other, give
-the spans of one row; null ids are a value like any other.  Words are compared by 64-bit hashes.
+the spans of one row; null ids are a value like any other; texts of any length are compared whole; an empty table has no spans.  Words
+are compared by 64-bit hashes.  Other columns, whatever their names, are of no account.
 """
 
 from __future__ import annotations
@@ -210,7 +211,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
         new[1:] = np.diff(content[order]) != 0
         order = order[new]
         gram, content = gram[order], content[order]
-        raw = t.column("words").combine_chunks().take(pa.array(order))
+        raw = t.column("words").cast(pa.large_binary()).combine_chunks().take(pa.array(order))
         size = np.array([len(x.as_buffer()) // 8 for x in raw])
         ends = np.append(np.flatnonzero(np.diff(gram)) + 1, len(gram))
         total = np.cumsum(size)

@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from inkfold.llm import bpe, credentials, fingerprints, lines, packing, quality, separators, simhash, suffixes, toxicity
 
-from .common import edge_docs, empty_docs
+from .common import PROSE, edge_docs, empty_docs
 
 OPS = {
     "pack": packing.pack,
@@ -71,3 +71,52 @@ def test_repeated_rows(spark):
     packed = packing.pack(docs).collect()
     assert len({r["bin_id"] for r in packed if r["doc_id"] == 4}) == 2
     assert {r["doc_id"] for r in packed if r["bin_id"] is None} == {1, 2, None}
+    assert {r["doc_id"] for r in packed if r["n_tokens"] == packing.CAPACITY} == {6, 7, 13}
+
+
+def test_survivors_do_not_depend_on_layout(spark):
+    rows = [(1, PROSE, x) for x in "cabd"] + [(2, f"{PROSE}\nanother line of its own", "z"), (3, "quite other words here for once", None), (3, "quite other words here for once", "y")]
+    schema = "doc_id long, text string, x string"
+    for fn in (simhash.near_dedup, lines.line_dedup):
+        got = {tuple(sorted(map(str, fn(spark.createDataFrame(own, schema).repartition(n)).collect()))) for own in (rows, rows[::-1]) for n in (1, 3)}
+        assert len(got) == 1
+        assert "x='a'" in str(got) and "x='b'" not in str(got)
+
+
+def test_repeated_column_names(spark):
+    docs = spark.createDataFrame([(1, PROSE, 1, 2), (2, PROSE, 3, 4), (3, "AKIA" + "IOSFODNN7EXAMPLE and more ordinary words", 5, 6)], "doc_id long, text string, a long, b long").toDF("doc_id", "text", "k", "k")
+    assert [tuple(r) for r in simhash.near_dedup(docs).orderBy("doc_id").collect()][0] == (1, PROSE, 1, 2)
+    for fn in (lines.line_dedup, credentials.redact, quality.quality_filter):
+        assert fn(docs).columns == ["doc_id", "text", "k", "k"] and fn(docs).count() >= 2
+    packing.pack(docs, source_col="k").collect()
+    for name in OPS.keys() - {"pack"}:
+        OPS[name](docs).collect()
+
+
+def test_labels_of_any_kind(spark):
+    """Null ids and marks, labels for a document that isn't there, contradictory ones."""
+    docs = spark.createDataFrame([(i, f"you are a blorf number {i} of the {w} folk") for i, w in enumerate("red blue green grey black white pink brown".split())] + [(50, "fine words about the sea")], "doc_id long, text string")
+    marks = [(i, t) for i in range(8) for t in (0, 1)] + [(None, 1), (50, None), (50, 0), (999, 1)]
+    got = toxicity.toxicity(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert {r["doc_id"]: r["toxic"] for r in got.collect()}[50] is False
+    few = toxicity.MAX_LABELLED
+    try:
+        toxicity.MAX_LABELLED = 1
+        assert got.count() == 9
+    finally:
+        toxicity.MAX_LABELLED = few
+
+
+def test_no_shared_folder_on_a_cluster():
+    from inkfold.llm.common import shared_dir
+
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)

@@ -7,18 +7,33 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 import corpus_pipeline
-from inkfold.llm import credentials, packing, quality, simhash
+from inkfold.llm import bpe, credentials, packing, simhash
 from inkfold.llm.common import strings
 
 from .common import DIR, HAVE, given, union_find
 from .test_methods import brute_lines
 
 
+def in_band(data, size):
+    """The limits, written out again, on a ratio computed by itself."""
+    limits = {1: (0.0, 9.0), 64: (0.45, 1.6), 128: (0.38, 1.05), 256: (0.34, 1.0), 512: (0.33, 0.92), 1024: (0.30, 0.86), 2048: (0.28, 0.82), 4096: (0.25, 0.8), 16384: (0.22, 0.8), 65536: (0.18, 0.8)}
+    low, high = (0.28, 0.86) if size == "chunk" else limits[max(k for k in limits if k <= size)]
+    z = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False))
+    return low <= len(z.compress(data)) / len(data) <= high
+
+
 def brute_quality(docs):
-    z = quality.compressor()
-    return [(i, t, s) for i, t, s in docs if quality.judge(t.encode(), z)[-1] == "keep"]
+    out = []
+    for i, t, s in docs:
+        raw = t.encode()
+        parts = [raw[k : k + 1024] for k in range(0, len(raw), 1024)] if len(raw) > 1024 else []
+        bad = sum(not in_band(p, "chunk" if len(p) == 1024 else len(p)) for p in parts)
+        if raw and in_band(raw, len(raw)) and bad * 4 <= len(parts):
+            out.append((i, t, s))
+    return out
 
 
 def brute_line_dedup(docs):
@@ -106,19 +121,20 @@ def test_run(spark):
     assert set(pieces) == set(want)
     cap = packing.CAPACITY
     for i, (t, _) in want.items():
-        assert sorted(pieces[i]) == list(range(max(1, math.ceil(len(t) / cap))))
-        assert all(p["start"] == k * cap and p["n_chars"] == min(cap, len(t) - k * cap) for k, p in pieces[i].items())
-    # best fit, replayed: each piece went to the tightest compatible bin there was
+        n = len(bpe.codec().bpe.encode_ordinary(t))
+        assert sorted(pieces[i]) == list(range(max(1, math.ceil(n / cap))))
+        assert all(p["start"] == k * cap and p["n_tokens"] == min(cap, n - k * cap) for k, p in pieces[i].items())
+    # best fit, replayed: each piece went to the tightest compatible bin there was; after near-dedup no two documents are near copies
     bins = {}
-    for r in sorted(rows, key=lambda r: (-r["n_chars"], r["doc_id"], r["piece"])):
+    for r in sorted(rows, key=lambda r: (-r["n_tokens"], r["doc_id"], r["piece"])):
         text, source = want[r["doc_id"]]
-        fits = [b["room"] for b in bins.values() if b["room"] >= r["n_chars"] and source not in b["sources"] and text not in b["texts"]]
+        fits = [b["room"] for b in bins.values() if b["room"] >= r["n_tokens"] and source not in b["sources"] and text not in b["texts"]]
         b = bins.setdefault(r["bin_id"], {"room": cap, "sources": set(), "texts": set(), "new": True})
         if b.pop("new", False):
             assert not fits
         else:
             assert b["room"] == min(fits) and source not in b["sources"]
-        b["room"] -= r["n_chars"]
+        b["room"] -= r["n_tokens"]
         b["sources"].add(source), b["texts"].add(text)
 
 
