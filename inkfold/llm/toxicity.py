@@ -11,9 +11,10 @@ second-person word within WINDOW words DIRECT times as much.  A document is toxi
 nobody is quoted with is enough.  Quotation marks count if the last one before on the line and the first one after are a pair, no
 more than QUOTE_BYTES away, or if the line has an odd number of straight ones before; apostrophes only beside the word.
 
-The lexicon is the given terms (BASE) and those that labelled documents teach: words of toxic documents that clean ones don't use,
-in at least MIN_CONTEXTS different contexts, so that copies of one document teach nothing.  At most MAX_LABELLED labelled
-documents, by hash, are read for that.  A term of a script written without spaces is found as that run of characters.
+The lexicon is the given terms (BASE) and those that labelled documents teach: words that a MIN_RATIO times greater share of toxic
+documents has than of clean ones, in at least MIN_CONTEXTS different contexts, so that copies of one document teach nothing.  At most MAX_LABELLED labelled
+documents, by hash, are read for that.  Learned terms are found as they are: the labels teach their variants, and what else resembles
+them has no evidence against it.  A term of a script written without spaces is found as that run of characters.
 
 Defined results: null and empty texts have score 0 and aren't toxic; a text of any length is judged whole; repeated rows are judged
 each; a document labelled more than once or contradictorily counts as toxic if any label says so; labels with a null id or a null
@@ -44,7 +45,7 @@ ORDINARY = (
     "parasites pitch price pricked regard regarded retained retarding reward rewarded salon shore slope sucking thrash trick tucking where "
     "witch worthiness wildlife blown foot food feel full pool tool wool cool fuel jerky fort form shot shut ship skit dump dumb's thumb"
 ).split()
-MIN_VARIED, MIN_FUZZY, MIN_FUZZY2 = 4, 5, 8
+MIN_VARIED, MIN_FUZZY, MIN_FUZZY2 = 4, 5, 10
 FUZZY, QUOTED, DIRECT, WINDOW, THRESHOLD = 0.7, 0.3, 1.5, 5, 0.7
 QUOTE_BYTES = 400
 MAX_LABELLED = 20_000
@@ -95,27 +96,29 @@ def minimal(step: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Automaton:
     """Trie and Levenshtein automata intersected: ``step[state, symbol]``, ``accepts[state]`` and ``exact[state]``; state 0 is dead, 1 the first."""
 
-    def __init__(self, terms: list[str], ordinary: set[str] = frozenset()) -> None:
-        self.terms = sorted({t.lower() for t in terms if t})
+    def __init__(self, terms: list[str], learned: list[str] = (), ordinary: set[str] = frozenset()) -> None:
+        fuzzy = {t.lower() for t in terms if t}
+        self.terms = sorted(fuzzy | {t.lower() for t in learned})
         self.ordinary = frozenset(ordinary) | frozenset(ORDINARY)
         self.runs = sorted({len(t) for t in self.terms if len(t) > 1 and _unspaced(t)})
         children: list[dict[str, int]] = [{}]
         ends: dict[int, tuple[int, int]] = {}  # node -> (0 or 1 for a variant, term)
         reach: list[int] = [0]  # edits that a term at or below the node allows
         known = set(self.terms)
-        entries = [(t, edits(len(t)), (0, k)) for k, t in enumerate(self.terms)]
-        entries += [(v, 0, (1, k)) for k, t in enumerate(self.terms) if MIN_VARIED <= len(t) < MIN_FUZZY for v in sorted(varied(t) - known)]
-        for word, most, mark in entries:
+        most = [edits(len(t)) if t in fuzzy else 0 for t in self.terms]
+        entries = [(t, most[k], (0, k)) for k, t in enumerate(self.terms)]
+        entries += [(v, 0, (1, k)) for k, t in enumerate(self.terms) if t in fuzzy and MIN_VARIED <= len(t) < MIN_FUZZY for v in sorted(varied(t) - known)]
+        for word, allowed, mark in entries:
             at = 0
             for ch in word:
-                reach[at] = max(reach[at], most)
+                reach[at] = max(reach[at], allowed)
                 nxt = children[at].get(ch)
                 if nxt is None:
                     nxt = children[at][ch] = len(children)
                     children.append({})
                     reach.append(0)
                 at = nxt
-            reach[at] = max(reach[at], most)
+            reach[at] = max(reach[at], allowed)
             ends.setdefault(at, mark)
         chars = sorted({c for w, _, _ in entries for c in w})
         self.symbol = {c: i + 2 for i, c in enumerate(chars)}
@@ -186,7 +189,7 @@ class Automaton:
             at += 1
         accepts = np.zeros(len(order), np.int64)  # 1: misspelled, 2: exact
         for i, items in enumerate(order):
-            hits = [(ends[n][0], e) for (n, owed), e in items if not owed and n in ends and (e == 0 or not ends[n][0] and e <= edits(len(self.terms[ends[n][1]])))]
+            hits = [(ends[n][0], e) for (n, owed), e in items if not owed and n in ends and (e == 0 or not ends[n][0] and e <= most[ends[n][1]])]
             if hits:
                 accepts[i] = 2 if min(hits) == (0, 0) else 1
         self.step, accepts = minimal(np.array(rows, np.int32), accepts)
@@ -305,18 +308,19 @@ def taught(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # a bounded sample by hash: the least hashes, whatever the layout
     chosen = marks.withColumn("h", F.xxhash64(ID)).orderBy("h", ID).limit(MAX_LABELLED).select(ID, "toxic")
     split = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    texts = own.join(F.broadcast(chosen), ID).groupBy("_key").agg(F.max("toxic").alias("toxic"), F.first(TEXT).alias("text")).select("toxic", split.alias("w"))
+    texts = own.join(F.broadcast(chosen), ID).groupBy("_key").agg(F.max("toxic").alias("toxic"), F.first(TEXT).alias("text")).select(F.col("_key").alias("id"), "toxic", split.alias("w"))
     texts = table(texts, "labelled-words")
     n = texts.groupBy().agg(F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0)).alias("a"), F.coalesce(F.sum((~F.col("toxic")).cast("int")), F.lit(0)).alias("b")).first()
-    pairs = texts.where("toxic").select(F.explode(F.expr("zip_with(w, concat(array(''), w), (x, y) -> struct(x as word, xxhash64(y) as before))")).alias("p")).select("p.word", "p.before").where("word is not null")
-    bad = pairs.where(F.length("word") >= 4).groupBy("word", "before").count().groupBy("word").agg(F.count("*").alias("contexts"), F.sum("count").alias("a"))
-    good = texts.where("not toxic").select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("b"))
+    pairs = texts.where("toxic").select("id", F.explode(F.expr("zip_with(w, concat(array(''), w), (x, y) -> struct(x as word, xxhash64(y) as before))")).alias("p")).select("id", "p.word", "p.before").where("word is not null and length(word) >= 4")
+    # a word counts once a document, however often it stands there
+    bad = pairs.groupBy("word").agg(F.count_distinct("before").alias("contexts"), F.count_distinct("id").alias("a"))
+    good = texts.where("not toxic").select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("b"))
     both = table(good.join(bad, "word", "full"), "labelled-counts").fillna(0)
     ratio = ((F.col("a") + 0.1) / (n["a"] + 1)) / ((F.col("b") + 0.1) / (n["b"] + 1))
     rows = both.where((F.col("contexts") >= MIN_CONTEXTS) & (ratio >= MIN_RATIO)).select("word").collect()
     terms = sorted(r["word"] for r in rows)
     common = both.where((F.col("b") > 0) & (ratio < MIN_RATIO)).select("word")
-    auto = Automaton([*BASE, *terms])
+    auto = Automaton(list(BASE), terms)
     auto.ordinary |= _reached(common, auto)
     return auto
 

@@ -1,6 +1,7 @@
 """The operators against brute force, round trips and held-out examples."""
 
 import collections
+import functools
 import random
 import re
 
@@ -307,12 +308,12 @@ def misspelled(word, term):
     return bool(swap or digit or twice)
 
 
-TERMS = ["idiot", "moron", "dab", "rétard", "abcdefgh", "shit", "дурак"]
+TERMS = ["idiot", "moron", "dab", "rétard", "abcdefghij", "shit", "дурак"]
 _automaton = []
 
 
 @settings(max_examples=400, deadline=None)
-@over(st.one_of(st.text(alphabet="abcdiotmré1", min_size=1, max_size=9), st.tuples(st.sampled_from(TERMS), st.integers(0, 8), st.sampled_from(["swap", "drop", "é", "1", "twice"]), st.integers(0, 8), st.sampled_from(["", "drop", "a", "swap"])))) 
+@over(st.one_of(st.text(alphabet="abcdiotmré1", min_size=1, max_size=9), st.tuples(st.sampled_from(TERMS), st.integers(0, 10), st.sampled_from(["swap", "drop", "é", "1", "twice"]), st.integers(0, 8), st.sampled_from(["", "drop", "a", "swap"])))) 
 def test_automaton_is_levenshtein(word):
     if isinstance(word, tuple):
         term, i, how, k, again = word
@@ -374,13 +375,18 @@ def test_toxicity_by_brute_force(spark):
     docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     auto = toxicity.taught(docs, labels)
     terms = set(auto.terms)
+
+    @functools.cache
+    def like(w):
+        return any(abs(len(w) - len(t)) <= 2 and misspelled(w, t) for t in toxicity.BASE)
+
     for r in toxicity.toxicity(docs, labels).collect():
         ws = re.findall(r"[^\W_]+", (rows[r["doc_id"]] or "").lower())
         hits = fuzzy = 0
         for w in ws:
             if w in terms:
                 hits += 1
-            elif w not in auto.ordinary and any(abs(len(w) - len(t)) <= 2 and misspelled(w, t) for t in terms):
+            elif w not in auto.ordinary and like(w):
                 hits, fuzzy = hits + 1, fuzzy + 1
         assert (r["n_hits"], r["n_fuzzy"]) == (hits, fuzzy), r
 
@@ -389,7 +395,8 @@ def test_toxicity_by_brute_force(spark):
 def test_toxic_labels(spark):
     folder = DIR.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    want = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    english = spark.read.parquet(f"{folder}/documents.parquet").where("lang = 'en'").select("doc_id")  # the others have too few labels here
+    want = {r["doc_id"]: r["toxic"] for r in labels.join(english, "doc_id").collect()}
     got = {r["doc_id"]: r["toxic"] for r in toxicity.toxicity(spark.read.parquet(f"{folder}/documents.parquet"), labels).collect()}
     clean, bad = ([got[i] for i, t in want.items() if bool(t) == k and i in got] for k in (False, True))
     assert sum(clean) / len(clean) < 0.02 and sum(bad) >= 0.9 * len(bad) > 0
