@@ -6,6 +6,7 @@ expressions with literal patterns, so that they are compiled once and stay in th
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -58,9 +59,22 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+@functools.cache
+def _composable() -> str:
+    """A class of the characters that composition can change: marks, vowels and finals of Hangul, and those that aren't composed alone."""
+    ranges: list[list[int]] = []
+    for cp in range(0x300, 0x30000):
+        if not 0xD800 <= cp < 0xE000 and unicodedata.normalize("NFC", chr(cp)) != chr(cp):
+            if ranges and ranges[-1][1] == cp - 1:
+                ranges[-1][1] = cp
+            else:
+                ranges.append([cp, cp])
+    return "[\\p{M}\\x{1161}-\\x{1175}\\x{11A8}-\\x{11C2}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 def nfc(c: Column) -> Column:
-    """Composed characters; only text beyond Latin goes through Python."""
-    return F.when(c.rlike(r"[^\x00-ɏ]"), F.pandas_udf(_nfc, "string")(c)).otherwise(c)
+    """Composed characters.  Python gets the texts in which there is something to compose, and nulls for the others."""
+    return F.coalesce(F.pandas_udf(_nfc, "string")(F.when(c.rlike(_composable()), c)), c)
 
 
 INVISIBLE = "﻿​‌‍­  �" + "".join(map(chr, [*range(0, 9), 11, 12, *range(14, 32), 127]))

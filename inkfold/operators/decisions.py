@@ -30,6 +30,13 @@ def best_candidates(candidates: DataFrame, sources: DataFrame, cfg: Config = DEF
     return sources.join(best, "doc_id", "left").select("doc_id", F.coalesce("chosen", "text").alias("text"), "ord")
 
 
+def best_of(candidates: Column, source_words: Column, cfg: Config = DEFAULT) -> Column:
+    """The same choice among an array of ``struct<ord, text, ai_score, sem, words>`` of a row; null if none has the right length."""
+    ok = F.filter(candidates, lambda c: length_ok(c["words"], source_words, cfg))
+    ranked = F.transform(ok, lambda c: F.struct((c["sem"] <= cfg.viable_sem).alias("unlike"), c["ai_score"].alias("s"), c["ord"].alias("o"), c.alias("c")))
+    return F.array_min(ranked)["c"]
+
+
 def needs_retry(orig: Column, now: Column, human: Column, cfg: Config = DEFAULT) -> Column:
     gained = (orig - now) / F.greatest(orig, F.lit(0.01))
     return (gained < cfg.retry_improvement) & (orig > cfg.retry_score) & ~human

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let, strip, tokens
+
 KEY = "rewrite"
 _DECODER = json.JSONDecoder()
 _STRICT = re.compile(rf'"{KEY}"\s*:\s*"((?:\\.|[^"\\])*)"', re.S)
@@ -29,8 +31,8 @@ _REMARK = re.compile(
 )
 _MARKERS = tuple(f"{label}:" for label in ("Rewritten", "Paraphrased text", "Corrected rewrite", "Rewritten text"))
 _FENCE = "`" * 3
-_END = ".!?。！？"
-_CUT = re.compile(rf"(?<=[{_END}])\s+")
+END = ".!?。！？"
+_CUT = re.compile(rf"(?<=[{END}])\s+")
 _PARAGRAPH = re.compile("\n\\s*\n")
 _DOUBLE, _SINGLE = "\"“”", "'‘’"
 
@@ -126,7 +128,7 @@ def clean(answer: str, source: str) -> str:
     if len(src) <= 20 and len(sents) > 1:
         text = sents[0]
     elif sents:
-        most = max(1, len(re.findall(f"[{_END}]+", src))) + 1
+        most = max(1, len(re.findall(f"[{END}]+", src))) + 1
         text = " ".join(until_remark(sents)[:most])
     # quotation marks are stripped only of kinds the source doesn't begin or end with
     marks = lambda edge: " " + "".join(k for k in (_DOUBLE, _SINGLE) if not edge or edge not in k)
@@ -147,7 +149,7 @@ def length_guard(text: str, source: str) -> str:
         text = " ".join(words[:most_words])
     if len(text) > most_chars:
         text = text[:most_chars].rstrip(" ,;:-")
-        end = max(map(text.rfind, _END))
+        end = max(map(text.rfind, END))
         if end >= max(10, most_chars // 2):
             text = text[: end + 1]
     return text.strip() or src
@@ -166,7 +168,31 @@ def extract_rewrite(answer: Column, source: Column) -> Column:
 
 
 def guard_length(text: Column, source: Column) -> Column:
-    return _both(length_guard)(text, source)
+    """length_guard as an expression; null for null text."""
+
+    def guard(v: Column) -> Column:
+        t, s, ws = v["t"], v["s"], v["ws"]
+        n, c = v["n"], F.length(s)
+        limit = lambda few, far, near, share, x: F.when(n <= 3, F.greatest(x + few, F.floor(x * far).cast("int"))).otherwise(F.greatest(x + near, F.floor(x * share).cast("int")))
+        most = limit(3, 2.0, 8, 1.35, n)
+        cut = F.when(F.size(ws) > most, F.array_join(F.slice(ws, 1, most), " ")).otherwise(t)
+
+        def by_chars(u: Column) -> Column:
+            room = u["room"]
+            short = F.regexp_replace(F.substring(u["x"], F.lit(1), room), "[ ,;:-]+\\z", "")
+
+            def at_end(x: Column) -> Column:
+                before = F.length(F.regexp_extract(x, f"(?s)^(.*)[{END}]", 1))
+                late = x.rlike(f"[{END}]") & (before >= F.greatest(F.lit(10), F.floor(room / 2)))
+                return F.when(late, F.substring(x, F.lit(1), before + 1)).otherwise(x)
+
+            return F.when(F.length(u["x"]) > room, let(short, at_end)).otherwise(u["x"])
+
+        held = strip(let(F.struct(cut.alias("x"), limit(18, 2.2, 40, 1.45, c).alias("room")), by_chars))
+        return F.when((t == "") | ((s != "") & (held == "")), s).when(s == "", t).otherwise(held)
+
+    t, s = strip(text), strip(F.coalesce(source, F.lit("")))
+    return F.when(text.isNotNull(), let(F.struct(t.alias("t"), s.alias("s"), tokens(t).alias("ws"), F.size(tokens(s)).alias("n")), guard))
 
 
 def response_text(raw: Column) -> Column:

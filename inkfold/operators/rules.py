@@ -129,6 +129,17 @@ def sentence_violations(rule: str, text: Column, low: Column) -> Column:
     return noun_stack_violations(text, low) if rule == "struct.abstract_noun_stack" else pattern_violations(rule, text, low)
 
 
+def violations_of(text: Column) -> Column:
+    """Violations of a text as one sentence, by the sentence rules, in their order."""
+
+    def of(v: Column) -> Column:
+        text, low = v["text"], v["low"]
+        parts = [None if r in PHRASES else sentence_violations(r, text, low) for r in SENTENCE_RULES]
+        return _merged(parts, phrases_present(low), text, low)
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), of)
+
+
 SENTENCE_RULES = [r.id for r in sorted(RULES.values(), key=lambda r: r.order) if r.order <= 19]
 DOCUMENT_RULES = [r.id for r in sorted(RULES.values(), key=lambda r: r.order) if r.order >= 20]
 
@@ -149,17 +160,21 @@ def rhythm_window(counts: Column) -> Column:
 
 
 def passive_window(sents: Column, text: Column) -> Column:
-    """Index of the first of up to three sentences together with too many passives, or null."""
+    """Index of the first of up to three sentences together with too many passives, or null.
+
+    A sentence ends with a mark that no passive contains, so those of neighbours are the sum of each one's.
+    """
 
-    def first(s: Column) -> Column:
-        n = F.size(s)
+    def first(v: Column) -> Column:
+        n = F.size(v)
         width = F.least(F.lit(3), n)
-        joined = F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(s, i + 1, F.greatest(width, F.lit(1))), " ").alias("t")))
-        counted = F.transform(joined, lambda x: F.struct(x["i"].alias("i"), F.regexp_count(x["t"], F.lit(PASSIVE)).alias("p"), word_count(x["t"]).alias("w")))
+        total = lambda i, field: F.aggregate(F.slice(v, i + 1, F.greatest(width, F.lit(1))), F.lit(0), lambda a, x: a + x[field])
+        counted = F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.struct(i.alias("i"), total(i, "p").alias("p"), total(i, "w").alias("w")))
         bad = F.filter(counted, lambda x: (x["p"] >= PASSIVE_LEAST) & (x["p"] / x["w"] > PASSIVE_SHARE))
         return F.when(n >= 2, F.try_element_at(bad, F.lit(1))["i"])
 
-    return F.when(F.regexp_count(text, F.lit(PASSIVE)) >= PASSIVE_LEAST, let(sents, first))
+    each = F.transform(sents, lambda s: F.struct(F.regexp_count(s, F.lit(PASSIVE)).alias("p"), word_count(s).alias("w")))
+    return F.when(F.regexp_count(text, F.lit(PASSIVE)) >= PASSIVE_LEAST, let(each, first))
 
 
 def has_colloquial(low: Column) -> Column:
@@ -216,8 +231,8 @@ def analyze(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     return each.select("doc_id", "idx", "text", F.col("counts")[F.col("idx")].alias("n_words"), _assemble(parts, F.col("present"), text, low).alias("violations"))
 
 
-def _assemble(parts: list[Column | None], present: Column, text: Column, low: Column) -> Column:
-    """All violations of a sentence in the order of the rules, those of the document last."""
+def _merged(parts: list[Column | None], present: Column, text: Column, low: Column) -> Column:
+    """All violations of a sentence in the order of the rules."""
     own = F.concat(*[p for p in parts if p is not None], _none())
     if any(p is None for p in parts):
         order = F.create_map(*[F.lit(x) for r in RULES.values() for x in (r.id, r.order)])
@@ -226,4 +241,9 @@ def _assemble(parts: list[Column | None], present: Column, text: Column, low: Co
         tagged = lambda a: F.transform(a, lambda v, i: F.struct(order[v["rule_id"]].alias("o"), i.alias("i"), v.alias("v")))
         merged = F.transform(F.array_sort(F.concat(tagged(own), tagged(phrases))), lambda x: x["v"])
         own = F.when(F.size(present) > 0, merged).otherwise(own)
-    return F.concat(own, F.when(F.col("idx") == 0, F.col("of_doc")).otherwise(_none()))
+    return own
+
+
+def _assemble(parts: list[Column | None], present: Column, text: Column, low: Column) -> Column:
+    """The same, with those of the document last."""
+    return F.concat(_merged(parts, present, text, low), F.when(F.col("idx") == 0, F.col("of_doc")).otherwise(_none()))

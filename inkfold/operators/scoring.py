@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -24,15 +25,27 @@ class Rewriter(Protocol):
     def rewrite(self, prompt: str, temperature: float) -> str: ...
 
 
+#: models of this worker, by what their factory is made of
 _workers: dict = {}
 
 
+def _content(factory) -> str:
+    """A name for a factory that is the same in all workers and differs for others: its pickled content."""
+    from pyspark import cloudpickle
+
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
 def detector_column(factory, text: Column) -> Column:
     """Scores by the detector that ``factory()`` makes, in Arrow batches; null text has a null score."""
 
+    key = _content(factory)
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = _workers.setdefault(repr(factory), None) or _workers.__setitem__(repr(factory), factory()) or _workers[repr(factory)]
+        if key not in _workers:
+            _workers[key] = factory()
+        model = _workers[key]
         for texts in batches:
             known = texts.dropna()
             out = pd.Series(float("nan"), index=texts.index, dtype="float64")

@@ -22,11 +22,19 @@ def cosine(a: Column, b: Column) -> Column:
     return let(F.struct(a.alias("a"), b.alias("b")), lambda v: of(v["a"], v["b"]))
 
 
+_SLOTS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"
+
+
 def hashed_counts(text: Column, size: int = 64) -> Column:
-    """A deterministic embedding: counts of lower-cased words by hash."""
+    """A deterministic embedding: counts of lower-cased words by hash, of 64 slots at most.
+
+    A word's slot is written as one character, so that a slot is counted by what its removal takes away.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]+"), F.lit(0))
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)))
-    return let(slots, lambda all_: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(all_, lambda s: s == i)).cast("double")))
+    slot = lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % size
+    marks = F.array_join(F.transform(words, lambda w: F.substring(F.lit(_SLOTS), slot(w) + 1, F.lit(1))), "")
+    every = F.split(F.lit(",".join(_SLOTS[:size])), ",")
+    return let(marks, lambda m: F.transform(every, lambda c: (F.length(m) - F.length(F.replace(m, c, F.lit("")))).cast("double")))
 
 
 def text_similarity(a: Column, b: Column, size: int = 64) -> Column:

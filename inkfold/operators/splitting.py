@@ -43,8 +43,12 @@ def _cut_arrays(rows: pd.Series, limits: pd.Series) -> pd.Series:
 
 
 def hard_split(text: Column, most: int) -> Column:
-    """Pieces of at most ``most`` characters, cut at the last space before; a loop without bound, so Python where it's needed."""
-    return F.when(F.length(text) > most, F.pandas_udf(_cut_texts, STRINGS)(text, F.lit(most))).when(text == "", F.array().cast(STRINGS)).otherwise(F.array(text))
+    """Pieces of at most ``most`` characters, cut at the last space before; a loop without bound, so Python where it's needed.
+
+    Python gets nulls for texts within the limit.
+    """
+    long = F.length(text) > most
+    return F.when(long, F.pandas_udf(_cut_texts, STRINGS)(F.when(long, text), F.lit(most))).when(text == "", F.array().cast(STRINGS)).otherwise(F.array(text))
 
 
 def group_sentences(sents: Column, most: int) -> Column:
@@ -72,16 +76,20 @@ def chunks(df: DataFrame, most: int = 200, merge: bool = False, text_col: str =
     the JVM.
     """
     t, pieces = strip(F.col(text_col)), "__pieces"
-    paras = F.when(F.size(paragraphs(t)) <= 1, F.array(t)).otherwise(paragraphs(t))
-    own = df.withColumn("__paras", F.when(t == "", F.array().cast(STRINGS)).otherwise(paras))
+    paras = let(F.struct(t.alias("t"), paragraphs(t).alias("ps")), lambda v: F.when(v["t"] == "", F.array().cast(STRINGS)).when(F.size(v["ps"]) <= 1, F.array(v["t"])).otherwise(v["ps"]))
+    # sentences of long paragraphs, null for others
+    own = df.withColumn("__paras", paras).withColumn("__sents", F.transform("__paras", lambda p: F.when(F.length(p) > most, cjk_sentences(p))))
     # the few paragraphs that are one long sentence go to Python, all at once for a row
-    own = own.withColumn("__hard", F.pandas_udf(_cut_arrays, "array<array<string>>")(F.transform("__paras", lambda p: F.when((F.length(p) > most) & (F.size(cjk_sentences(p)) <= 1), p)), F.lit(most)))
+    alone = F.zip_with("__paras", "__sents", lambda p, s: F.when(F.size(s) == 1, p))
+    own = own.withColumn("__hard", F.when(F.exists("__sents", lambda s: F.size(s) == 1), F.pandas_udf(_cut_arrays, "array<array<string>>")(F.when(F.exists("__sents", lambda s: F.size(s) == 1), alone), F.lit(most))))
 
-    def parts(p: Column, i: Column) -> Column:
-        soft = F.when(F.length(p) <= most, F.array(p)).otherwise(group_sentences(cjk_sentences(p), most))
-        return F.coalesce(F.col("__hard")[i], soft)
+    # lambdas use their own arguments only: a column within one may be computed again for each element
+    def piece(x: Column, i: Column) -> Column:
+        soft = F.when(x["s"].isNull(), F.array(x["p"])).otherwise(group_sentences(x["s"], most))
+        return F.struct(i.cast("int").alias("i"), x["p"].alias("p"), F.coalesce(x["h"], soft).alias("xs"))
 
-    own = own.withColumn(pieces, F.transform("__paras", lambda p, i: F.struct(i.cast("int").alias("i"), p.alias("p"), parts(p, i).alias("xs"))))
+    hard = F.coalesce("__hard", F.transform("__paras", lambda _: F.lit(None).cast(STRINGS)))
+    own = own.withColumn(pieces, F.transform(F.arrays_zip(F.col("__paras").alias("p"), F.col("__sents").alias("s"), hard.alias("h")), piece))
     if not merge:
         out = F.flatten(F.transform(pieces, lambda x: F.transform(x["xs"], lambda s: F.struct(s.alias("text"), x["i"].alias("para_idx")))))
     else:
@@ -100,7 +108,7 @@ def chunks(df: DataFrame, most: int = 200, merge: bool = False, text_col: str =
             )
 
         out = F.aggregate(pieces, zero, step, lambda a: F.when(a["cur"] != "", F.concat(a["out"], one(a["cur"], a["at"]))).otherwise(a["out"]))
-    return own.withColumn(out_col, out).drop("__paras", "__hard", pieces)
+    return own.withColumn(out_col, out).drop("__paras", "__sents", "__hard", pieces)
 
 
 def split_finer(text: Column, level: int) -> Column:
@@ -131,6 +139,18 @@ def segment_numbers(counts: Column, target: int) -> Column:
     return F.aggregate(counts, zero, step, finish)
 
 
+def segment_texts(text: Column, target: int = 800) -> Column:
+    """The texts of the segments of a document, as an array; a text within the target is one, as it is."""
+    from ..functions.text import sentences, word_count
+
+    def of(v: Column) -> Column:
+        joined = lambda segs: F.transform(F.sequence(F.lit(0), F.array_max(segs)), lambda g: F.array_join(F.filter(v["s"], lambda x, i: segs[i] == g), " "))
+        total = F.aggregate(v["c"], F.lit(0), lambda a, x: a + x)
+        return F.when(total <= target, F.array(text)).otherwise(let(segment_numbers(v["c"], target), joined))
+
+    return let(sentences(text), lambda s: let(F.struct(s.alias("s"), F.transform(s, word_count).alias("c")), of))
+
+
 def segments(docs: DataFrame, target: int = 800, overlap: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, seg_idx, text, sentence_indices, context_before, context_after, word_count); no shuffle, all within a row."""
     from ..functions.text import sentences, word_count

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.config import DEFAULT, Config
 from ..functions.lexicon import PHRASES
 from ..functions.text import let, quote, sentences, strip, word_count
-from ..operators import decisions, severity
+from ..operators import decisions, rules, severity, splitting
 from ..operators.postprocess import STEPS
 from ..operators.rules import analyze
 from ..operators.scoring import stand_in_score
 from ..operators.similarity import text_similarity
+from ..sources.session import settle
 
 
 def graded(docs: DataFrame, **columns) -> DataFrame:
@@ -35,7 +36,7 @@ def document_analysis(sentences_: DataFrame) -> DataFrame:
 
 def score_text(text: Column) -> Column:
     """The stand-in detector of a whole text: stock phrases for violations."""
-    every = F.array(*[F.lit(p) for ps in PHRASES.values() for p in ps])
+    every = F.split(F.lit("|".join(p for ps in PHRASES.values() for p in ps)), "[|]")
     hits = let(F.lower(text), lambda low: F.size(F.filter(every, lambda p: low.contains(p))))
     return stand_in_score(hits, F.least(word_count(text), F.lit(40)))
 
@@ -54,49 +55,66 @@ def without_phrases(c: Column) -> Column:
     return strip(c)
 
 
+_SHORT = r"(?i)\b(do|does|did|is|are|was|were|has|have) not\b"
+
+
+def with_short_forms(c: Column) -> Column:
+    """Spoken short forms: a stand-in for a model that polishes."""
+    return F.regexp_replace(c, _SHORT, "$1n't")
+
+
+def without_short_forms(c: Column) -> Column:
+    """A stand-in for a model that restores formality."""
+    return F.regexp_replace(c, r"n't\b", " not")
+
+
+def offer(ord_: int, text: Column, source: Column) -> Column:
+    """A candidate as decisions.best_of takes it."""
+    return let(text, lambda t: F.struct(F.lit(ord_).alias("ord"), t.alias("text"), score_text(t).alias("ai_score"), text_similarity(source, t).alias("sem"), word_count(t).alias("words")))
+
+
 def optimize(docs: DataFrame, cfg: Config = DEFAULT, id_col: str = "doc_id", text_col: str = "text", genre: str = "professional") -> DataFrame:
     """The six stages with deterministic stand-ins for models: a row a document with texts, scores and what was decided.
 
-    Stages: score and grade; choose a rewrite of the whole, once more if it gained too little; treat sentences that stay bad one by
-    one; polish; restore formality.  Every decision is the one real models would get; a model plugs in where a stand-in column is.
+    1, 2: score and grade.  3: rewrite the whole, long texts segment by segment, of several candidates the best one, and once more if
+    that gained too little; what already reads human is only touched up.  4: sentences that stay bad are rewritten, deleted or left, by
+    likeness and by the rules that the new sentence breaks.  5: polish.  6: formality, for genres that need it, if the score allows.
+    Every decision is the one real models would get; a model plugs in where a stand-in column is.  Candidates are arrays of their row:
+    nothing is shuffled but the grades of a document's sentences.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    first = scored(own, cfg=cfg)
-    per = severity.already_human(first, cfg=cfg).select("doc_id", "clean_ratio", "already_human")
+    per = severity.already_human(scored(own, cfg=cfg), cfg=cfg).select("doc_id", "clean_ratio", "already_human")
     base = own.join(per, "doc_id").withColumns({"orig_score": score_text(F.col("text")), "n_words": word_count(F.col("text"))})
     base = base.withColumn("route", decisions.route(F.col("n_words"), cfg))
-    # whole-text rewrites: two candidates, or one light one for what already reads human
-    texts = F.when(F.col("already_human"), F.array(F.col("fixed"))).otherwise(F.array(F.col("fixed"), without_phrases(F.col("fixed"))))
-    offered = base.withColumn("fixed", _fixed(F.col("text"))).select("doc_id", F.col("text").alias("source"), F.posexplode(texts).alias("ord", "text"))
-    offered = offered.select("doc_id", "ord", "text", score_text(F.col("text")).alias("ai_score"), text_similarity(F.col("source"), F.col("text")).alias("sem"), word_count(F.col("text")).alias("words"), word_count(F.col("source")).alias("source_words"))
-    chosen = decisions.best_candidates(offered, base.select("doc_id", "text"), cfg).select("doc_id", F.col("text").alias("stage3_text"), F.col("ord").alias("candidate"))
-    state = base.join(chosen, "doc_id").withColumn("stage3_score", score_text(F.col("stage3_text")))
-    state = state.withColumn("retry", decisions.needs_retry(F.col("orig_score"), F.col("stage3_score"), F.col("already_human"), cfg))
-    again = without_phrases(F.col("stage3_text"))
-    state = state.withColumn("stage3_text", F.when(F.col("retry") & (score_text(again) < F.col("stage3_score")), again).otherwise(F.col("stage3_text")))
+    parts = F.when(F.col("route") == "long", splitting.segment_texts(F.col("text"), cfg.segment_words)).otherwise(F.array("text"))
+    base = base.withColumns({"light": _fixed(F.array_join(parts, " ")), "strong": _fixed(F.array_join(F.transform(parts, without_phrases), " "))})
+    offered = F.when(F.col("already_human"), F.array(offer(0, F.col("light"), F.col("text")))).otherwise(F.array(offer(0, F.col("light"), F.col("text")), offer(1, F.col("strong"), F.col("text"))))
+    state = base.withColumn("best", decisions.best_of(offered, F.col("n_words"), cfg))
+    state = state.withColumns({"candidate": F.col("best.ord"), "first_text": F.coalesce("best.text", "text"), "first_score": F.coalesce("best.ai_score", "orig_score")})
+    state = state.withColumn("retry", decisions.needs_retry(F.col("orig_score"), F.col("first_score"), F.col("already_human"), cfg))
+    again = F.when(F.col("retry"), F.array(offer(0, _fixed(without_phrases(F.col("first_text"))), F.col("text")), offer(1, _fixed(with_short_forms(without_phrases(F.col("first_text")))), F.col("text"))))
+    state = state.withColumn("second", decisions.best_of(again, word_count(F.col("first_text")), cfg))
+    state = state.select("doc_id", "text", "route", "already_human", "candidate", "retry", "orig_score", F.coalesce("second.text", "first_text").alias("stage3_text"), F.coalesce("second.ai_score", "first_score").alias("stage3_score"))
+    state = settle(state, "rewritten")  # models' answers: not to be asked for again
     # sentences that stay critical or high
-    graded3 = graded(state.select("doc_id", F.col("stage3_text").alias("text"))).select("doc_id", "idx", "text", "rule_severity")
-    bad = graded3.where(F.col("rule_severity").isin("critical", "high"))
-    better = without_phrases(_fixed(F.col("text")))
-    cand = bad.join(state.select("doc_id", sentences(F.col("stage3_text")).alias("sents")), "doc_id").withColumn("candidate_text", better)
-    rest = F.array_join(F.filter(F.col("sents"), lambda x, i: (i != F.col("idx")) & (x != "")), " ")
-    cand = cand.withColumns({"sem": text_similarity(F.col("text"), F.col("candidate_text")), "without_sem": text_similarity(F.array_join("sents", " "), rest)})
-    passes = ~graded_text(F.col("candidate_text"))
-    cand = cand.withColumn("action", decisions.sentence_action(F.col("sem"), passes, F.col("without_sem"), cfg))
+    graded3 = settle(graded(state.select("doc_id", F.col("stage3_text").alias("text"))).select("doc_id", "idx", "text", "rule_severity"), "graded")
+    bad = graded3.where(F.col("rule_severity").isin("critical", "high")).join(state.select("doc_id", F.col("text").alias("source"), sentences(F.col("stage3_text")).alias("sents")), "doc_id")
+    cand = bad.withColumns({"candidate_text": without_phrases(_fixed(F.col("text"))), "rest": F.array_join(F.filter(F.col("sents"), lambda x, i: (i != F.col("idx")) & (x != "")), " ")})
+    grade = let(rules.violations_of(F.col("candidate_text")), severity.rule_severity)
+    cand = cand.withColumns({"sem": text_similarity(F.col("text"), F.col("candidate_text")), "without_sem": F.when(F.col("rest") == "", 0.0).otherwise(text_similarity(F.col("source"), F.col("rest"))), "passes": grade.isin("clean", "low")})
+    cand = cand.withColumn("action", decisions.sentence_action(F.col("sem"), F.col("passes"), F.col("without_sem"), cfg))
     new = F.when(F.col("action") == "rewritten", F.col("candidate_text")).when(F.col("action") == "deleted", "").otherwise(F.col("text"))
     acted = cand.select("doc_id", "idx", "action", new.alias("new"))
-    joined = graded3.join(acted, ["doc_id", "idx"], "left").withColumns({"action": F.coalesce("action", F.lit("kept")), "final_text": F.coalesce("new", "text")})
-    final = joined.groupBy("doc_id").agg(
-        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("idx", "final_text"))), lambda x: x["final_text"]), lambda x: x != ""), " ").alias("final_text"),
+    joined = graded3.join(acted, ["doc_id", "idx"], "left").withColumns({"action": F.coalesce("action", F.lit("kept")), "after": F.coalesce("new", "text")})
+    fourth = joined.groupBy("doc_id").agg(
+        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("idx", "after"))), lambda x: x["after"]), lambda x: x != ""), " ").alias("stage4_text"),
         *[F.count_if(F.col("action") == a).alias(f"n_{a}") for a in ("kept", "rewritten", "deleted", "unfixed_risky")],
     )
-    out = state.join(final, "doc_id").withColumn("final_text", _fixed(F.col("final_text"))).withColumn("final_score", score_text(F.col("final_text")))
-    out = out.withColumn("formality", decisions.keep_formal(F.lit(genre), F.col("final_score"), F.col("stage3_score"), cfg))
-    return out.select("doc_id", "route", "already_human", "candidate", "retry", "orig_score", "stage3_score", "final_score", "n_kept", "n_rewritten", "n_deleted", "n_unfixed_risky", "formality", "final_text")
-
-
-def graded_text(text: Column) -> Column:
-    """Whether a single sentence still breaks a rule above low: by its characters and stock phrases."""
-    every = F.array(*[F.lit(p) for r, ps in PHRASES.items() if r != "vocab.ai_filler" for p in ps])
-    found = let(F.lower(text), lambda low: F.exists(every, lambda p: low.contains(p)))
-    return found | text.contains(";") | text.rlike("—|–")
+    out = state.join(fourth, "doc_id").withColumn("stage4_score", F.when(F.col("stage4_text") == "", F.col("stage3_score")).otherwise(score_text(F.col("stage4_text"))))
+    out = out.withColumn("stage5_text", _fixed(with_short_forms(F.col("stage4_text"))))
+    out = out.withColumns({"stage5_score": score_text(F.col("stage5_text")), "stage6_text": _fixed(without_short_forms(F.col("stage5_text")))}).withColumn("stage6_score", score_text(F.col("stage6_text")))
+    out = out.withColumn("formality", decisions.keep_formal(F.lit(genre), F.col("stage6_score"), F.col("stage5_score"), cfg))
+    taken = F.col("formality") == "accepted"
+    out = out.withColumns({"final_text": F.when(taken, F.col("stage6_text")).otherwise(F.col("stage5_text")), "final_score": F.when(taken, F.col("stage6_score")).otherwise(F.col("stage5_score"))})
+    out = out.withColumn("final_sem", F.round(text_similarity(F.col("text"), F.col("final_text")), 5))
+    return out.select("doc_id", "route", "already_human", "candidate", "retry", "orig_score", "stage3_score", "stage4_score", "stage5_score", "final_score", "final_sem", "n_kept", "n_rewritten", "n_deleted", "n_unfixed_risky", "formality", "final_text")

@@ -10,7 +10,7 @@ from ..functions.lexicon import PHRASES, RULES
 from ..operators import decisions, extraction, postprocess, prompts, rules, scoring, severity, similarity, splitting
 from ..sources.tables import problem, read, spread
 from ..streaming import events as ev
-from . import analysis, planted, sql
+from . import analysis, planted, sql, sql_text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -60,9 +60,12 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(splitting.paragraphs(T.clean_text(F.col("text"), compose=False))).alias("i", "p"))
 
 
-@query("cjk_sentences")
+_CJK = ["你好。再见！真的？", "End.Next one。是", "plain"]
+
+
+@query("cjk_sentences", sql_text.cjk_sentences(planted.plant_sql(_CJK)))
 def _(spark, d):
-    docs = planted.plant(documents(spark, d).select("doc_id", "text"), ["你好。再见！真的？", "End.Next one。是", "plain"])
+    docs = planted.plant(documents(spark, d).select("doc_id", "text"), _CJK)
     return docs.select("doc_id", F.posexplode(splitting.cjk_sentences(F.col("text"))).alias("i", "s"))
 
 
@@ -75,23 +78,23 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", fine.alias("ps")).where("size(ps) > 1").select("doc_id", F.posexplode("ps").alias("i", "p"))
 
 
-@query("chunk_sentences")
+@query("chunk_sentences", sql_text.chunks(PLAIN_SQL, 200))
 def _(spark, d):
     return splitting.chunks(documents(spark, d).select("doc_id", "text")).select("doc_id", F.posexplode("chunks").alias("i", "c")).select("doc_id", "i", "c.text", "c.para_idx")
 
 
-@query("chunk_merge")
+@query("chunk_merge", sql_text.merged_chunks(f"SELECT doc_id, {sql.clean_text('text')} AS text FROM documents", 600))
 def _(spark, d):
     docs = documents(spark, d).select("doc_id", T.clean_text(F.col("text"), compose=False).alias("text"))
     return splitting.chunks(docs, 600, merge=True).select("doc_id", F.posexplode("chunks").alias("i", "c")).select("doc_id", "i", "c.text", "c.para_idx")
 
 
-@query("hard_split")
+@query("hard_split", sql_text.hard_split(r"SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents", 120))
 def _(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(splitting.hard_split(F.regexp_replace("text", r"\s+", " "), 120)).alias("i", "piece"))
 
 
-@query("segments")
+@query("segments", sql_text.segments(PLAIN_SQL))
 def _(spark, d):
     return splitting.segments(documents(spark, d))
 
@@ -156,9 +159,10 @@ def _(spark, d):
     return own.select("doc_id", "idx", F.explode("violations").alias("v")).select("doc_id", "idx", F.col("v.span.start").alias("start"), F.col("v.span.end").alias("end"), "v.context")
 
 
-@query("violations")
+@query("violations", sql_text.violations(ALL_SQL) + " SELECT * FROM viol")
 def _(spark, d):
-    return rules.analyze(all_planted(spark, d)).select("doc_id", "idx", F.posexplode("violations").alias("pos", "v")).select("doc_id", "idx", "pos", "v.*")
+    own = rules.analyze(all_planted(spark, d)).select("doc_id", "idx", F.posexplode("violations").alias("pos", "v"))
+    return own.select("doc_id", "idx", "pos", "v.rule_id", "v.severity", "v.span.start", "v.span.end", "v.context", "v.suggestion")
 
 
 # grading
@@ -194,7 +198,10 @@ def _(spark, d):
     return severity.split_by_family(analysis.graded(all_planted(spark, d)))
 
 
-@query("document_analysis")
+_TOP = f"SELECT doc_id, rule_id, CAST(sum(n) AS BIGINT) AS n, min(idx * 100 + o) AS first_at FROM ({sql.by_rule()}) GROUP BY doc_id, rule_id"
+
+
+@query("document_analysis", sql.graded(ALL_SQL) + f", h AS (SELECT doc_id, {_HIST}, count(*) AS n_sentences, CAST(sum(n_violations) AS BIGINT) AS n_violations FROM v GROUP BY doc_id) SELECT h.*, coalesce(top_issues, CAST([] AS VARCHAR[])) AS top_issues FROM h LEFT JOIN (SELECT doc_id, list(rule_id ORDER BY n DESC, first_at) AS top_issues FROM ({_TOP}) GROUP BY doc_id) USING (doc_id)")
 def _(spark, d):
     return analysis.document_analysis(analysis.graded(all_planted(spark, d)))
 
@@ -263,7 +270,7 @@ def _post_query(name: str, fix, oracle) -> None:
 
 
 for _name, _fix, _ in postprocess.STEPS:
-    _post_query(_name, _fix, getattr(sql, f"fix_{_name}", None))
+    _post_query(_name, _fix, getattr(sql, f"fix_{_name}", None) or getattr(sql_text, f"fix_{_name}"))
 
 
 @query("pages_fix_punctuation", f"SELECT page_id, {sql.fix_punctuation('html')} AS html FROM pages")
@@ -271,7 +278,7 @@ def _(spark, d):
     return spread(read(spark, d, "pages")).select("page_id", postprocess.fix_punctuation(F.col("html")).alias("html"))
 
 
-@query("post_process_log")
+@query("post_process_log", sql_text.post_process(planted.plant_sql(planted.POST)))
 def _(spark, d):
     return postprocess.post_process(planted.plant(documents(spark, d).select("doc_id", "text"), planted.POST)).select("doc_id", "fixed", "changes")
 
@@ -349,9 +356,9 @@ def _(spark, d):
     return own.select("doc_id", "ord", *[F.element_at("m", t).alias(t) for t in decisions.TECHNIQUE_ORDER])
 
 
-@query("leave_one_out", f"WITH s AS ({sql.sentences(PLAIN_SQL)}) SELECT a.doc_id, a.idx, md5(coalesce(string_agg(b.text, ' ' ORDER BY b.idx), '')) AS rest FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND a.idx <> b.idx WHERE a.doc_id % 10 = 0 GROUP BY a.doc_id, a.idx")
+@query("leave_one_out", f"WITH s AS ({sql.sentences(PLAIN_SQL)}) SELECT a.doc_id, a.idx, md5(coalesce(string_agg(b.text, ' ' ORDER BY b.idx), '')) AS rest FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND a.idx <> b.idx GROUP BY a.doc_id, a.idx")
 def _(spark, d):
-    own = documents(spark, d).where("doc_id % 10 = 0").select("doc_id", F.posexplode(decisions.leave_one_out(T.sentences(F.col("text")))).alias("idx", "t"))
+    own = documents(spark, d).select("doc_id", F.posexplode(decisions.leave_one_out(T.sentences(F.col("text")))).alias("idx", "t"))
     return own.select("doc_id", "idx", F.md5("t").alias("rest"))
 
 
@@ -386,7 +393,7 @@ def _(spark, d):
     return decisions.unfixed_texts(own)
 
 
-@query("mark_positions")
+@query("mark_positions", sql_text.mark_positions(PLAIN_SQL))
 def _(spark, d):
     own = documents(spark, d).select("doc_id", "text", F.slice(T.sentences(F.col("text")), 1, 3).alias("needles"))
     return own.select("doc_id", F.posexplode(decisions.mark_positions(F.col("text"), F.col("needles"))).alias("i", "m")).select("doc_id", "i", "m.start", "m.end")
@@ -416,7 +423,7 @@ def _(spark, d):
     return best.select("vec_id", "best_idx", F.round("similarity", 5).alias("similarity"))
 
 
-@query("text_similarity")
+@query("text_similarity", sql_text.similarity(f"SELECT doc_id, text AS a, {sql.fix_punctuation('''upper(replace(text, 'ß', 'ss'))''')} AS b FROM documents"))
 def _(spark, d):
     own = documents(spark, d)
     return own.select("doc_id", F.round(similarity.text_similarity(F.col("text"), postprocess.fix_punctuation(F.upper("text"))), 5).alias("sim"))
@@ -442,12 +449,12 @@ def _answers(text: Column) -> Column:
     return F.element_at(F.array(*forms), (F.col("doc_id") % len(forms) + 1).cast("int"))
 
 
-@query("extract_rewrite")
+@query("extract_rewrite", sql_text.extracted())
 def _(spark, d):
     return documents(spark, d).select("doc_id", extraction.extract_rewrite(_answers(F.col("text")), F.substring("text", 1, 200)).alias("rewrite"))
 
 
-@query("length_guard_text")
+@query("length_guard_text", sql_text.guard_length("text", "text[:150]"))
 def _(spark, d):
     return documents(spark, d).select("doc_id", extraction.guard_length(F.col("text"), F.substring("text", 1, 150)).alias("text"))
 
@@ -467,20 +474,30 @@ def _(spark, d):
     return prompts.annotated(analysis.scored(all_planted(spark, d))).select("doc_id", F.md5("annotated").alias("annotated"))
 
 
-@query("prompt_stage3")
+_LINES = f"string_agg('[' || idx || '][' || {_LABEL} || ']' || CASE WHEN ai_score > 0 THEN format(' (AI:{{:.3f}})', ai_score) ELSE '' END || ' ' || text, chr(10) ORDER BY idx)"
+_IDS = f"ids AS (SELECT doc_id, idx, string_agg(array_to_string(list_transform(range(n), lambda x: rule_id), ', '), ', ' ORDER BY o) AS ids FROM ({sql.by_rule()}) GROUP BY doc_id, idx)"
+
+
+@query("prompt_stage3", sql.scored(ALL_SQL) + f", {_IDS} SELECT doc_id, {sql_text.rewrite_prompt('annotated', 's', chr(39) + 'narrative' + chr(39), 'doc_id % 2 = 0')} AS prompt FROM (SELECT doc_id, {_LINES} AS annotated, avg(ai_score) AS s FROM z LEFT JOIN ids USING (doc_id, idx) GROUP BY doc_id)")
 def _(spark, d):
     own = analysis.scored(all_planted(spark, d))
     score = own.groupBy("doc_id").agg(F.avg("ai_score").alias("s"))
     return prompts.annotated(own).join(score, "doc_id").select("doc_id", prompts.rewrite_prompt(F.col("annotated"), F.col("s"), F.lit("narrative"), F.col("doc_id") % 2 == 0).alias("prompt"))
 
 
-@query("prompt_stage4")
+_ISSUES = "SELECT doc_id, idx, string_agg('- ' || rule_id || ': ' || suggestion, chr(10) ORDER BY pos) AS issues FROM viol GROUP BY doc_id, idx"
+
+
+@query("prompt_stage4", sql.scored(ALL_SQL).replace(sql.graded(ALL_SQL), sql_text.violations(ALL_SQL)) + f" SELECT doc_id, idx, {sql_text.sentence_prompt('text', 'issues', 'before', 'after', 'ai_score')} AS prompt FROM (SELECT *, lag(text, 1, '') OVER w AS before, lead(text, 1, '') OVER w AS after FROM z WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) LEFT JOIN ({_ISSUES}) USING (doc_id, idx) WHERE rule_severity IN {_BAD}")
 def _(spark, d):
     own = decisions.neighbours(analysis.scored(all_planted(spark, d))).where(F.col("rule_severity").isin("critical", "high"))
     return own.select("doc_id", "idx", prompts.sentence_prompt(F.col("text"), F.col("violations"), F.col("context_before"), F.col("context_after"), F.col("ai_score")).alias("prompt"))
 
 
-@query("prompt_stage5")
+_DEFICITS = "list_filter([CASE WHEN r22 > 0 THEN 'human.no_colloquial' END, CASE WHEN r23 > 0 THEN 'human.no_short_sentence' END, CASE WHEN r24 > 0 THEN 'human.no_question' END], lambda x: x IS NOT NULL)"
+
+
+@query("prompt_stage5", sql.graded(ALL_SQL) + f" SELECT doc_id, {sql_text.polish_prompt('src.text', sql.words('src.text'), 'deficits', 0.4, chr(39) + 'casual' + chr(39))} AS prompt FROM src JOIN (SELECT doc_id, {_DEFICITS} AS deficits FROM v WHERE idx = 0) USING (doc_id)")
 def _(spark, d):
     docs = all_planted(spark, d)
     own = docs.join(severity.human_deficits(rules.analyze(docs)), "doc_id")
@@ -488,20 +505,20 @@ def _(spark, d):
     return own.select("doc_id", prompts.polish_prompt(F.col("text"), budget, F.col("deficits"), F.lit(0.4), F.lit("casual")).alias("prompt"))
 
 
-@query("prompt_stage6")
+@query("prompt_stage6", f"SELECT doc_id, {sql_text.formality_prompt('text', 'genre')} AS prompt FROM (SELECT doc_id, text, (['academic', 'professional', 'casual'])[doc_id % 3 + 1] AS genre FROM documents)")
 def _(spark, d):
     genre = F.element_at(F.array(*map(F.lit, ("academic", "professional", "casual"))), (F.col("doc_id") % 3 + 1).cast("int"))
     return documents(spark, d).select("doc_id", prompts.formality_prompt(F.col("text"), genre).alias("prompt"))
 
 
-@query("prompt_genre")
+@query("prompt_genre", f"SELECT doc_id, {sql_text.genre_prompt('text')} AS prompt FROM documents")
 def _(spark, d):
     return documents(spark, d).select("doc_id", prompts.genre_prompt(F.col("text")).alias("prompt"))
 
 
-@query("optimize_documents")
+@query("optimize_documents", sql_text.optimized(ALL_SQL))
 def _(spark, d):
-    return analysis.optimize(all_planted(spark, d).where("doc_id % 10 = 0"))
+    return analysis.optimize(all_planted(spark, d))
 
 
 # events

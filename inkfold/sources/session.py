@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -20,3 +23,25 @@ def ship(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``; where it is unset, as in tests on one machine, a temporary one.
+
+    On a cluster a folder of one machine wouldn't do, so there the setting has to be given.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="inkfold-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: what follows doesn't compute it again, and survives the loss of any executor."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
