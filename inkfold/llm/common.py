@@ -9,10 +9,7 @@ Row identity
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import unicodedata
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..sources.session import settle as table  # noqa: F401
+from ..sources.session import shared_dir  # noqa: F401
+
 ID, KEY, TEXT = "_doc", "_key", "_text"
 SLICE_BYTES = 1 << 18
 
@@ -29,28 +29,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, ``spark.checkpoint.dir``; where it is unset, as in tests on one machine, a temporary one.
-
-    On a cluster a folder of one machine wouldn't do, so there the setting has to be given.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="inkfold-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, text: bool = True) -> DataFrame:
     """(ID, KEY[, TEXT]) of each row; nothing else of the input can clash."""
     placed = by_place(docs)

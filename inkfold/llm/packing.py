@@ -16,13 +16,14 @@ packed together with about that many others at every size of the table; the READ
 
 Defined results: null and empty texts take no room and come with a null bin; a null source conflicts with nothing, nor does a null in a
 column of clusters; documents without words are a cluster by their text, so that repeated rows and copies are always in different
-bins; pieces of equal size go by id, text hash and offset; among compatible bins of equal residual any fixed one is taken.  A text
+bins; pieces of equal size go by id, text hash and offset; of compatible bins of equal residual the one opened first is taken.  A text
 above the capacity, however long, fills whole bins and its rest is packed; its pieces share a cluster, so no bin has two of them.  An
 empty table gives no rows.  Other columns are of no account; of repeated names the first column is meant.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ class Bins:
         self.residual: list[int] = []
         self.sources: list[int] = []
         self.clusters: list[int] = []
-        self.levels: dict[int, dict[tuple[int, int], dict[int, None]]] = {}  # residual -> (source bitmap, cluster bitmap) -> bins
+        self.levels: dict[int, dict[tuple[int, int], list[int]]] = {}  # residual -> (source bitmap, cluster bitmap) -> heap of bins
         self.common: dict[int, int] = {}  # residual -> sources that each of its bins holds
         self.occupied = 0  # bitmap of residuals
         self.blocked: dict[int, int] = {}  # source -> bitmap of residuals with no bin for it
@@ -67,22 +68,23 @@ class Bins:
         key = (mask, self.clusters[b])
         at = self.levels.get(level)
         if at is None:
-            self.levels[level] = {key: {b: None}}
+            self.levels[level] = {key: [b]}
             self.occupied |= 1 << level
             self.common[level] = mask
             self._block(level, 0, mask)
         elif key in at:
-            at[key][b] = None
+            heapq.heappush(at[key], b)
         else:
-            at[key] = {b: None}
+            at[key] = [b]
             old = self.common[level]
             self.common[level] = old & mask
             self._block(level, old, old & mask)
 
     def _remove(self, b: int) -> None:
+        """Takes out a bin that is the first of its heap."""
         level, key = self.residual[b], (self.sources[b], self.clusters[b])
         at = self.levels[level]
-        del at[key][b]
+        heapq.heappop(at[key])
         if at[key]:
             return
         del at[key]
@@ -104,15 +106,14 @@ class Bins:
         free = (self.occupied & ~self.blocked.get(source, 0)) >> size
         while free:
             level = size + (free & -free).bit_length() - 1
-            for (mask, held), bins in self.levels[level].items():
-                if not mask & source and not held & cluster:
-                    best = next(iter(bins))
-                    self._remove(best)
-                    self.residual[best] -= size
-                    self.sources[best] |= source
-                    self.clusters[best] |= cluster
-                    self._add(best)
-                    return best
+            best = min((bins[0] for (mask, held), bins in self.levels[level].items() if not mask & source and not held & cluster), default=-1)
+            if best >= 0:
+                self._remove(best)
+                self.residual[best] -= size
+                self.sources[best] |= source
+                self.clusters[best] |= cluster
+                self._add(best)
+                return best
             free &= free - 1
         self.residual.append(self.capacity - size)
         self.sources.append(source)

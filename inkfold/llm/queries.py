@@ -29,10 +29,13 @@ QUERIES = {
     "op9_repeated_passages": lambda spark, d: repeated_passages(documents(spark, d)),
     "op10_line_dedup": lambda spark, d: duplicate_lines(documents(spark, d)),
 }
-#: the others (best fit, automata, zstandard) can't be expressed in SQL; tests/llm has their brute-force versions
+#: the others (automata, zstandard) can't be expressed in SQL; tests/llm has their brute-force versions
 ORACLE_SQL = {
+    "op1_best_fit_packing": oracles.best_fit(),
     "op3_byte_bpe": oracles.encoded(),
     "op5_multiset_fingerprints": oracles.multiset_fingerprints(),
+    "op6_simhash_near_duplicates": oracles.near_duplicates(),
+    "op7_toxicity": oracles.toxicity(),
     "op8_token_counts": oracles.token_counts(),
     "op9_repeated_passages": oracles.repeated_passages(),
     "op10_line_dedup": oracles.duplicate_lines(),
