@@ -116,6 +116,14 @@ def mark_positions(text: Column, needles: Column) -> Column:
     return F.array_sort(kept)
 
 
+def marked_parts(text: Column, spans: Column) -> Column:
+    """The text cut at its marks: ``array<struct<text, marked>>`` without empty parts; joined they are the text."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,marked:boolean>>").alias("out"))
+    part = lambda a, b, marked: F.struct(F.substring(text, a + 1, b - a).alias("text"), F.lit(marked).alias("marked"))
+    cut = F.aggregate(spans, zero, lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(part(acc["at"], s["start"], False), part(s["start"], s["end"], True))).alias("out")))
+    return F.filter(let(cut, lambda c: F.concat(c["out"], F.array(part(c["at"], F.length(text), False)))), lambda p: p["text"] != "")
+
+
 def tier(score: Column) -> Column:
     return F.when(score > 0.6, "red").when(score > 0.4, "yellow").otherwise("green")
 

@@ -21,7 +21,7 @@ def fix_punctuation(c: Column) -> Column:
 
 def fix_whitespace(c: Column) -> Column:
     t = F.regexp_replace(c, f"[{SPACE}&&[^\\n]]{{2,}}", " ")
-    return F.regexp_replace(rstrip_lines(t), "\n\n\n+", BREAK)
+    return F.regexp_replace(rstrip_lines(t), "\n{3,}", BREAK)
 
 
 def fix_curly_quotes(c: Column) -> Column:
@@ -35,7 +35,7 @@ def fix_emojis(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, EMOJI, ""), "  +", " ")
 
 
-BOLD = r"\*{2}([^*]+)\*{2}"
+BOLD = r"\*\*([^*]+)\*\*"
 BOLD_MOST = 3
 
 

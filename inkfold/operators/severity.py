@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULT, Config
 
-LEVELS = tuple("critical high medium low clean".split())
+LEVELS = ("critical", "high", "medium", "low", "clean")
 
 
 def _count(violations: Column, level: str) -> Column:
@@ -78,7 +78,7 @@ def rollup_by_category(sentences: DataFrame) -> DataFrame:
     return each.rollup("category", "rule_id").agg(F.count("*").alias("n"))
 
 
-NEW_FAMILIES = (*(f"{family}." for family in "artifact content style".split()), "struct.tailing_negation")
+NEW_FAMILIES = ("artifact.", "content.", "style.", "struct.tailing_negation")
 
 
 def split_by_family(sentences: DataFrame) -> DataFrame:
@@ -90,11 +90,15 @@ def split_by_family(sentences: DataFrame) -> DataFrame:
     return sentences.select("doc_id", F.explode("violations").alias("v")).groupBy("doc_id").agg(F.count_if(new).alias("n_new"), F.count_if(~new).alias("n_old"))
 
 
+def reads_human(score: Column, clean_ratio: Column, cfg: Config = DEFAULT) -> Column:
+    """A low mean score, or a lowish one with most sentences clean."""
+    return (score < cfg.human_score) | ((score < cfg.human_score_soft) & (clean_ratio >= cfg.human_clean_ratio))
+
+
 def already_human(sentences: DataFrame, score: str = "ai_score", cfg: Config = DEFAULT) -> DataFrame:
     """(doc_id, ai_score, clean_ratio, already_human)."""
     per = sentences.groupBy("doc_id").agg(F.avg(score).alias("ai_score"), F.avg((F.col("rule_severity") == "clean").cast("double")).alias("clean_ratio"))
-    s = F.col("ai_score")
-    return per.withColumn("already_human", (s < cfg.human_score) | ((s < cfg.human_score_soft) & (F.col("clean_ratio") >= cfg.human_clean_ratio)))
+    return per.withColumn("already_human", reads_human(F.col("ai_score"), F.col("clean_ratio"), cfg))
 
 
 def human_deficits(sentences: DataFrame) -> DataFrame:

@@ -521,6 +521,23 @@ def _(spark, d):
     return analysis.optimize(all_planted(spark, d))
 
 
+@query("run_summary", sql_text.run_summary(ALL_SQL))
+def _(spark, d):
+    return analysis.run_summary(analysis.run_stages(all_planted(spark, d)))
+
+
+@query("pipeline_events", sql_text.event_counts(ALL_SQL))
+def _(spark, d):
+    return ev.pipeline_events(analysis.run_stages(all_planted(spark, d))).groupBy("run_id", "type").agg(F.count("*").alias("n"))
+
+
+@query("mark_parts", sql_text.marked_parts(PLAIN_SQL))
+def _(spark, d):
+    own = documents(spark, d).select("doc_id", "text", decisions.mark_positions(F.col("text"), F.slice(T.sentences(F.col("text")), 1, 3)).alias("m"))
+    parts = F.transform(decisions.marked_parts(F.col("text"), F.col("m")), lambda p: F.when(p["marked"], F.concat(F.lit("[["), p["text"], F.lit("]]"))).otherwise(p["text"]))
+    return own.select("doc_id", F.md5(F.array_join(parts, "")).alias("marked"))
+
+
 # events
 
 

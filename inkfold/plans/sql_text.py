@@ -237,6 +237,26 @@ def mark_positions(src: str) -> str:
  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, stop) - 1 AS INTEGER) AS i, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end" FROM c WHERE kept"""
 
 
+def marked_parts(src: str) -> str:
+    """The texts with brackets around their marks, as a digest."""
+    return f"""SELECT d.doc_id, md5(coalesce(string_agg(substr(d.text, prev + 1, start - prev) || '[[' || substr(d.text, start + 1, "end" - start) || ']]', '' ORDER BY start), '') || substr(any_value(d.text), coalesce(max("end"), 0) + 1)) AS marked
+ FROM documents d LEFT JOIN (SELECT *, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS prev FROM ({mark_positions(src)})) m USING (doc_id) GROUP BY d.doc_id"""
+
+
+def run_summary(src: str) -> str:
+    r = lambda x, name: f"round_even({x}, 4) AS {name}"
+    return f"""SELECT doc_id, {r('orig_score', 'original_ai_score')}, {r('final_score', 'final_ai_score')}, {r('final_sem', 'final_sem_score')}, CAST(length(final_text) AS INTEGER) AS output_length, n AS total_sentences, n_unfixed_risky AS unfixed_count,
+ {r('stage3_score', 'stage3_ai_score')}, {r('stage4_score', 'stage4_ai_score')}, {r('final_score', 'stage5_ai_score')} FROM ({optimized(src)}) JOIN (SELECT doc_id, count(*) AS n FROM ({sql.sentences(src)}) GROUP BY doc_id) USING (doc_id)"""
+
+
+def event_counts(src: str) -> str:
+    """(run_id, type, n) of the events of each run."""
+    segs = f"SELECT doc_id, count(*) AS n_segments FROM ({segments(src)}) GROUP BY doc_id"
+    kinds = {"stage_start": "6", "stage1_done": "1", "sentence_tagged": "n", "stage2_done": "1", "stage3_progress": "CASE WHEN route = 'long' THEN n_segments ELSE 0 END + CAST(retry AS INTEGER)", "stage3_done": "1", "stage4_sentence": "n_rewritten + n_deleted + n_unfixed_risky", "stage4_done": "1", "stage5_done": "1", "stage6_done": "1", "run_done_v2": "1"}
+    rows = ", ".join(f"{{'type': '{k}', 'n': CAST({v} AS BIGINT)}}" for k, v in kinds.items())
+    return f"SELECT run_id, e.type AS type, e.n AS n FROM (SELECT CAST(doc_id AS VARCHAR) AS run_id, unnest([{rows}]) AS e FROM ({optimized(src)}) JOIN (SELECT doc_id, count(*) AS n FROM ({sql.sentences(src)}) GROUP BY doc_id) USING (doc_id) JOIN ({segs}) USING (doc_id)) WHERE e.n > 0"
+
+
 def likeness(src: str, columns: str, size: int = 64) -> str:
     """The columns of a subquery, and ``sim`` of its columns a and b."""
     slots = lambda x: f"list_transform(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: CAST('0x' || md5(w)[:2] AS INTEGER) % {size})"

@@ -79,10 +79,11 @@ class HttpRewriter:
     kind: str = "chat"  # chat, messages or completion
     timeout: float = 120.0
     max_tokens: int = 2048
+    stream: bool = False  # ask for server-sent events
     headers: dict = field(default_factory=dict)
 
     def payload(self, prompt: str, temperature: float) -> dict:
-        body = {"model": self.model, "temperature": temperature, "max_tokens": self.max_tokens}
+        body = {"model": self.model, "temperature": temperature, "max_tokens": self.max_tokens} | ({"stream": True} if self.stream else {})
         return body | ({"prompt": prompt} if self.kind == "completion" else {"messages": [dict(content=prompt, role="user")]})
 
     def auth_headers(self) -> dict:
@@ -125,7 +126,7 @@ class HttpRewriter:
         for attempt in (0, 1):
             try:
                 with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                    return self.answer_text(json.load(r))
+                    return self.stream_text(line.decode() for line in r) if self.stream else self.answer_text(json.load(r))
             except urllib.error.HTTPError as e:
                 if attempt or e.code not in RETRIED:
                     raise

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.analysis import graded
 from ..sources.tables import problem
 
+_log = logging.getLogger(__name__)
 STAGES = ("stage1_done", "sentence_tagged", "stage2_done", "stage3_progress", "stage3_done", "stage4_sentence", "stage4_done", "stage5_done", "stage6_skipped", "stage6_done", "run_done_v2", "stage_start", "error")
 EVENT = "run_id string, seq long, ts timestamp, type string, data string"
 
@@ -36,6 +39,36 @@ def sentence_events(sentences: DataFrame, run_id: str = "doc_id") -> DataFrame:
     return sentences.select(*event(F.col(run_id).cast("string"), F.col("idx") + 2, "sentence_tagged", F.struct("idx", "rule_severity", F.size("violations").alias("violations"))))
 
 
+STAGE_NAMES = ("Global scoring", "Per-sentence tagging", "Standardized rewrite", "Stubborn sentence attack", "Human touch polish", "Formality calibration")
+
+
+def pipeline_events(stages: DataFrame, genre: str = "professional") -> DataFrame:
+    """(run_id, seq, ts, type, data) of all events of the runs that analysis.run_stages gives, in the order in which they happen.
+
+    Each run's events are an array of its row, so nothing is shuffled.
+    """
+
+    def one(type_: str, **data) -> Column:
+        return F.array(F.struct(F.lit(type_).alias("type"), F.to_json(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in data.items()])).alias("data")))
+
+    def each(type_: str, items: Column, *names: str) -> Column:
+        return F.transform(items, lambda x: F.struct(F.lit(type_).alias("type"), F.to_json(F.struct(*[x[n].alias(n) for n in names])).alias("data")))
+
+    start = lambda n: one("stage_start", stage=n, name=STAGE_NAMES[n - 1])
+    c = F.col
+    progress = F.when(c("route") == "long", F.transform(F.sequence(F.lit(0), c("n_segments") - 1), lambda i: F.struct(F.lit("stage3_progress").alias("type"), F.to_json(F.struct(i.alias("segment_idx"), c("n_segments").alias("total_segments"), F.lit("done").alias("status"))).alias("data"))))
+    none = F.array().cast("array<struct<type:string,data:string>>")
+    formal = genre in ("academic", "professional")
+    last = F.concat(start(6), one("stage6_done", ai_score=c("final_score"), accepted=c("formality") == "accepted", genre=genre)) if formal else one("stage6_skipped", genre=genre)
+    events = F.concat(
+        start(1), one("stage1_done", ai_score=c("orig_score"), already_human=c("already_human")), start(2), each("sentence_tagged", c("tags"), "idx", "severity", "violations"), one("stage2_done", sentences=F.size("tags")),
+        start(3), F.coalesce(progress, none), F.when(c("retry"), one("stage3_progress", segment_idx=0, total_segments=1, status="retry")).otherwise(none), one("stage3_done", ai_score=c("stage3_score")),
+        start(4), each("stage4_sentence", c("actions"), "idx", "action", "action_sem"), one("stage4_done", rewritten=c("n_rewritten"), deleted=c("n_deleted"), unfixed=c("n_unfixed_risky"), ai_score=c("stage4_score")),
+        start(5), one("stage5_done", ai_score=c("stage5_score")), last, one("run_done_v2", final_ai_score=c("final_score"), final_sem_score=c("final_sem"), unfixed=c("n_unfixed_risky")),
+    )
+    return stages.select(c("doc_id").cast("string").alias("run_id"), F.posexplode(events).alias("seq", "e")).select("run_id", c("seq").cast("long").alias("seq"), F.current_timestamp().alias("ts"), "e.type", "e.data")
+
+
 def run_states(events: DataFrame) -> DataFrame:
     """(run_id, status, last_type, n_events, n_sentences, unfixed, result): the state of a run from its events, in any order.
 
@@ -57,18 +90,23 @@ def write_events(events: DataFrame, path: str, checkpoint: str, **trigger):
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def fan_out(events: DataFrame, sinks: list, checkpoint: str, **trigger):
-    """Each batch to every sink; a sink that fails is left out from then on and doesn't hold up the others."""
-    alive = list(sinks)
+def fan_out(events: DataFrame, sinks: list, checkpoint: str, patience: int = 3, **trigger):
+    """Each batch to every sink.  A sink that fails doesn't hold up the others; it is tried again with the next batch, and given up
+    with its last error in the log after ``patience`` failures in a row."""
+    failures = [0] * len(sinks)
 
     def send(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            for sink in list(alive):
+            for i, sink in enumerate(sinks):
+                if failures[i] >= patience:
+                    continue
                 try:
                     sink(batch, epoch)
-                except Exception:  # a dead client
-                    alive.remove(sink)
+                    failures[i] = 0
+                except Exception:  # any client's error
+                    failures[i] += 1
+                    _log.exception("sink %d failed on batch %d, %d time(s) in a row", i, epoch, failures[i])
         finally:
             batch.unpersist()
 

@@ -191,6 +191,57 @@ def test_http_adapter():
     assert r.stream_text([*lines, "data: [DONE]", "data: no"]) == "hey" and r.stream_text(['{"choices": [{"message": {"content": "z"}}]}']) == "z"
 
 
+def test_http_stream():
+    """Server-sent events over a connection, after one answer of an overloaded server."""
+    import http.server
+    import threading
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(503 if len(asked) == 1 else 200)
+            self.end_headers()
+            if len(asked) > 1:
+                for x in ("he", "llo"):
+                    self.wfile.write(f"data: {json.dumps({'choices': [{'delta': {'content': x}}]})}\n\n".encode())
+                self.wfile.write(b"data: [DONE]\n\n")
+
+        def log_message(self, *_):
+            pass
+
+    with http.server.HTTPServer(("127.0.0.1", 0), Handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        try:
+            got = tables.HttpRewriter(f"http://127.0.0.1:{server.server_port}/", "m", stream=True, timeout=10).rewrite("p", 0.1)
+        finally:
+            server.shutdown()
+    assert got == "hello" and asked[1]["stream"] is True and len(asked) == 2
+
+
+def test_detectors_are_told_apart_by_content(spark):
+    def maker(k):
+        class Model:
+            name = "m"
+
+            def score_batch(self, texts):
+                return [k / 10 for _ in texts]
+
+        return lambda: Model()
+
+    df = spark.createDataFrame([("abc",)], "t string")
+    assert [df.select(scoring.detector_column(maker(k), F.col("t")).alias("s")).first()["s"] for k in (1, 2, 1)] == [0.1, 0.2, 0.1]
+
+
+def test_guard_length_as_an_expression(spark):
+    texts = ["", " ", "a b", "One. Two! Three? " * 9, "x" * 300, "word " * 80, "no end here at all " * 20, "汉字。" * 90]
+    rows = [(a, b) for a in [*texts, None] for b in [*texts, None]]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", extraction.guard_length(F.col("a"), F.col("b")).alias("x"))
+    for r in df.collect():
+        assert r["x"] == (None if r["a"] is None else extraction.length_guard(r["a"], r["b"] or "")), r
+
+
 def test_similarity(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([1.0, 1.0], [2.0, 2.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     got = [r["x"] for r in df.select(similarity.cosine(F.col("a"), F.col("b")).alias("x")).collect()]
