@@ -36,7 +36,7 @@ from .common import ID, KEY, TEXT, by_place, place_of, table
 from .simhash import near_groups
 
 CAPACITY = 4096
-GROUP_ITEMS = 40_000
+GROUP_ITEMS = 100_000
 CLUSTER_K = 17
 SCHEMA = "bin_id long, slot int, doc_id long, piece int, start long, n_tokens int"
 
@@ -127,9 +127,9 @@ def bits(values: np.ndarray, null: np.ndarray) -> list[int]:
     _, at, counts = np.unique(values, return_inverse=True, return_counts=True)
     ok = (counts[at] > 1) & ~null
     _, local = np.unique(at[ok], return_inverse=True)
-    out = [0] * len(values)
+    out, bit = [0] * len(values), [1 << k for k in range(int(local.max()) + 1)] if len(local) else []
     for i, k in zip(np.flatnonzero(ok).tolist(), local.tolist(), strict=True):
-        out[i] = 1 << k
+        out[i] = bit[k]
     return out
 
 
