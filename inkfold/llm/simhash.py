@@ -7,8 +7,8 @@ Anchors: the words of the perfect binary Golay code, of length 23, dimension 12
 within 3 of exactly one anchor.  Block b has an even threshold t_b, and the sum of all t_b + 1 is above K: fingerprints that differ
 in more than t_b bits in every block differ in more than K.  So two that differ in at most K bits have a block with at most t_b.
 Halfway between the two block words lies a word within t_b / 2 of both, and its anchor is within R + t_b / 2 of both.  A fingerprint
-is replicated, for each block, to every anchor within that radius, and all that meet at an anchor are compared over all bits: no
-pair is missed.
+is replicated, for each block, to every anchor within that radius, and all that meet at an anchor are compared, first in the block:
+pairs that differ there in at most t_b bits are compared over all bits.  No pair is missed.
 
 K is chosen by recall of near copies (Jaccard of word sets from 0.8), not by cost; the README has the figures.
 
@@ -195,25 +195,25 @@ def link(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def link_anchor(fps: np.ndarray, k: int, first: int = 0) -> list[tuple[int, int]]:
+def link_anchor(fps: np.ndarray, k: int, words_: np.ndarray, t: int) -> list[tuple[int, int]]:
     """The same for the rows at one anchor, by blocks of a matrix of differences: most rows have no partner at all.
 
-    Pairs are judged by the long ``first``, best one whose blocks aren't the anchor's, and the few that are left by all longs.
+    ``words_`` are the rows' words of the anchor's block, and only pairs that differ there in at most ``t`` bits, the block's
+    threshold, are judged by all bits: any other pair within k bits meets at an anchor of a block where it does.
     """
     n = len(fps)
     if n < 2:
         return []
-    cols = [np.ascontiguousarray(fps[:, c]) for c in (first, *(c for c in range(fps.shape[1]) if c != first))]
-    step = max(1, (1 << 17) // n)
+    step = max(1, (1 << 18) // n)
     touched = np.zeros(n, bool)
     for i in range(0, n, step):
-        d = np.bitwise_count(cols[0][i : i + step, None] ^ cols[0][None, i:])
-        a, b = np.divmod(np.flatnonzero(d <= k), n - i)
+        d = np.bitwise_count(words_[i : i + step, None] ^ words_[None, i:])
+        a, b = np.divmod(np.flatnonzero(d <= t), n - i)
         ok = b > a
         a, b = a[ok] + i, b[ok] + i
         total = np.zeros(len(a), np.int64)
-        for c in cols:
-            total += np.bitwise_count(c[a] ^ c[b])
+        for c in range(fps.shape[1]):
+            total += np.bitwise_count(fps[a, c] ^ fps[b, c])
         hit = total <= k
         touched[a[hit]] = True
         touched[b[hit]] = True
@@ -260,8 +260,9 @@ def near_groups(docs: DataFrame, k: int = K, blocks: int = BLOCKS, id_col: str =
         cut = np.append(np.flatnonzero(np.diff(anchor, prepend=-1)), len(anchor))
         u, v = [], []
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            own_long = int(anchor[a]) % blocks // 2
-            for x, y in link_anchor(f[a:b], k, (own_long + 1) % longs):
+            j = int(anchor[a]) % blocks
+            own_words = ((f[a:b, j // 2] >> (BITS * (j % 2))) & ((1 << BITS) - 1)).astype(np.uint32)
+            for x, y in link_anchor(f[a:b], k, own_words, 2 * (radius[j] - RADIUS)):
                 u.append(n[a + x]), v.append(n[a + y])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 

@@ -249,7 +249,7 @@ def test_golay_code_covers():
 
 
 @needs_data
-@pytest.mark.parametrize("k", [5, 17])
+@pytest.mark.parametrize("k", [5, 17, simhash.K])
 def test_near_duplicates_against_all_pairs(spark, k):
     rows = [(r["doc_id"], r["text"]) for r in given(spark).collect()]
     rng = random.Random(2)
