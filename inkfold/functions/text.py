@@ -74,7 +74,8 @@ def _composable() -> str:
 
 def nfc(c: Column) -> Column:
     """Composed characters.  Python gets the texts in which there is something to compose, and nulls for the others."""
-    return F.coalesce(F.pandas_udf(_nfc, "string")(F.when(c.rlike(_composable()), c)), c)
+    todo = c.rlike(r"[^\x00-\u02ff]") & c.rlike(_composable())  # nothing below U+0300 is changed alone
+    return F.coalesce(F.pandas_udf(_nfc, "string")(F.when(todo, c)), c)
 
 
 INVISIBLE = "﻿​‌‍­  �" + "".join(map(chr, [*range(0, 9), 11, 12, *range(14, 32), 127]))
