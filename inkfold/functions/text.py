@@ -11,7 +11,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
@@ -103,6 +103,15 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(marked, CUT, -1), lambda s: s != "")
 
 
+def exploded(df: DataFrame, array: str, at: str, item: str, *keep: str) -> DataFrame:
+    """The columns to keep, and place and item of each element of an array that isn't null.
+
+    A plain explode makes the optimizer filter by the array's size beneath, which computes a costly array again and again; the outer
+    one doesn't, and its rows without a place go here.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(at, item)).where(F.col(at).isNotNull())
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, also where ``body`` uses it within a lambda."""
     return F.transform(F.array(value), body)[0]

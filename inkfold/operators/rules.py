@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import ABSTRACT_NOUNS, BOUNDED, COLLOQUIAL, FIRST, PARTICIPLES, PHRASES, RULES
-from ..functions.text import EDGE, NOT_AFTER, NOT_BEFORE, SPACE, WORD, S, W, around, bounded, let, quote, sentences, spans, word_count
+from ..functions.text import EDGE, NOT_AFTER, NOT_BEFORE, SPACE, WORD, S, W, around, bounded, exploded, let, quote, sentences, spans, word_count
 
 VIOLATION = "struct<rule_id:string,severity:string,span:struct<start:int,end:int>,context:string,suggestion:string>"
 VIOLATIONS = f"array<{VIOLATION}>"
@@ -202,7 +202,7 @@ def document_violations(text: Column, sents: Column, counts: Column) -> Column:
 
 def split_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, idx, text, n_words): one row a sentence."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences(F.col(text_col))).alias("idx", "text")).withColumn("n_words", word_count(F.col("text")))
+    return exploded(docs.select(F.col(id_col).alias("doc_id"), sentences(F.col(text_col)).alias("sents")), "sents", "idx", "text", "doc_id").withColumn("n_words", word_count(F.col("text")))
 
 
 def analyze(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[str] | None = None) -> DataFrame:
@@ -218,7 +218,7 @@ def analyze(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     own = own.select("doc_id", "sents", "counts", "present", "nouns", (document_violations(F.col("body"), F.col("sents"), F.col("counts")) if whole else _none()).alias("of_doc"))
     if whole and rules:
         own = own.withColumn("of_doc", F.filter("of_doc", lambda v: v["rule_id"].isin(*wanted)))
-    each = own.select("doc_id", "present", "nouns", "of_doc", "counts", F.posexplode("sents").alias("idx", "text")).withColumn("low", F.lower("text"))
+    each = exploded(own, "sents", "idx", "text", "doc_id", "present", "nouns", "of_doc", "counts").withColumn("low", F.lower("text"))
     # patterns before phrases and after them: by order of the rules
     parts, text, low = [], F.col("text"), F.col("low")
     for r in sorted(wanted, key=lambda r: RULES[r].order):

@@ -80,13 +80,13 @@ def _(spark, d):
 
 @query("chunk_sentences", sql_text.chunks(PLAIN_SQL, 200))
 def _(spark, d):
-    return splitting.chunks(documents(spark, d).select("doc_id", "text")).select("doc_id", F.posexplode("chunks").alias("i", "c")).select("doc_id", "i", "c.text", "c.para_idx")
+    return T.exploded(splitting.chunks(documents(spark, d).select("doc_id", "text")), "chunks", "i", "c", "doc_id").select("doc_id", "i", "c.text", "c.para_idx")
 
 
 @query("chunk_merge", sql_text.merged_chunks(f"SELECT doc_id, {sql.clean_text('text')} AS text FROM documents", 600))
 def _(spark, d):
     docs = documents(spark, d).select("doc_id", T.clean_text(F.col("text"), compose=False).alias("text"))
-    return splitting.chunks(docs, 600, merge=True).select("doc_id", F.posexplode("chunks").alias("i", "c")).select("doc_id", "i", "c.text", "c.para_idx")
+    return T.exploded(splitting.chunks(docs, 600, merge=True), "chunks", "i", "c", "doc_id").select("doc_id", "i", "c.text", "c.para_idx")
 
 
 @query("hard_split", sql_text.hard_split(r"SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents", 120))
