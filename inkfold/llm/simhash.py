@@ -15,7 +15,8 @@ K is chosen by recall of near copies (Jaccard of word sets from 0.8), not by cos
 Cost: 5.3 anchors on average lie within 4 of a word and 21.8 within 5; for K = 23 three blocks need either, so a fingerprint has 81
 replicas whatever the table; equal fingerprints are folded to one before.  Where a group of n copies meets, each pivot is compared
 with those not reached yet.  Comparisons of unrelated fingerprints at an anchor grow with the square of the table, over
-4096 * BLOCKS anchors: the price of finding all pairs at 17 % of the bits.  A smaller K needs fewer replicas: below BLOCKS the
+4096 * BLOCKS anchors: the price of finding all pairs at 17 % of the bits.  At anchors of more than MANY rows only those are compared
+that have a word halfway between them (link_by_halves), a twelfth of all pairs at thresholds of 4 and a hundredth at 2.  A smaller K needs fewer replicas: below BLOCKS the
 radius is R and a word has one anchor.
 
 Defined results: null and empty texts and texts without a word belong to no group and stay; equal texts and repeated rows are one
@@ -38,6 +39,8 @@ BLOCKS = 6
 K = 23
 BITS = 23
 RADIUS = 3
+#: rows at an anchor beyond which they are compared by words halfway; rows of such words compared at once
+MANY, BATCH = 2000, 1 << 16
 _MASK = np.uint64(0x0001000100010001)
 _PER_WORD = 48  # bits used of each 64-bit hash: lanes s, s+16, s+32, s+48 for 12 shifts
 
@@ -195,15 +198,81 @@ def link(fps: np.ndarray, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def link_anchor(fps: np.ndarray, k: int, words_: np.ndarray, t: int) -> list[tuple[int, int]]:
-    """The same for the rows at one anchor, by blocks of a matrix of differences: most rows have no partner at all.
+def halfway(words_: np.ndarray, code: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, word) of all words within ``reach`` of each row's and nearest to the anchor ``code``, relative to it."""
+    bits = [0, *(1 << a for a in range(BITS))]
+    near = np.zeros(1, np.uint32)
+    for _ in range(reach):
+        near = np.unique(near[:, None] ^ np.array(bits, np.uint32))
+    rows, mids = [], []
+    for i in range(0, len(words_), 4096):
+        m = (words_[i : i + 4096] ^ np.uint32(code))[:, None] ^ near
+        row, at = np.nonzero(np.bitwise_count(m) <= RADIUS)
+        rows.append(row + i), mids.append(m[row, at])
+    return np.concatenate(rows), np.concatenate(mids)
+
+
+def link_by_halves(fps: np.ndarray, k: int, words_: np.ndarray, t: int, code: int, column: int) -> list[tuple[int, int]]:
+    """Links of the rows at the anchor within k bits that have a word halfway between them, of those nearest to this anchor.
+
+    Such a word is within t / 2 of both block words, and each word is nearest to one anchor: what isn't found here, as the word
+    halfway belongs to another anchor, is found there.  ``column`` of ``fps`` has the anchor's block and is looked at last.
+    """
+    touched, pairs, room = np.zeros(len(fps), bool), [], 32 * len(fps)
+    row, mid = halfway(words_, code, t // 2)
+    order = np.argsort(mid, kind="stable")
+    row, mid = row[order], mid[order]
+    group = np.cumsum(np.diff(mid.astype(np.int64), prepend=-1) != 0) - 1
+    size = np.bincount(group)
+    keep = size[group] > 1
+    row, group = row[keep], group[keep]
+    order = np.lexsort((group, -size[group]))
+    row, group = row[order], group[order]
+    size = size[group]
+    cut = np.append(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+    others = [c for c in range(fps.shape[1]) if c != column] or [column]
+    i = 0
+    while i < len(row):  # whole groups of falling size, about BATCH rows at once
+        j = int(cut[max(np.searchsorted(cut, i, side="right"), np.searchsorted(cut, i + BATCH, side="right") - 1)])
+        r, g, n = row[i:j], group[i:j], size[i:j]
+        own = [np.ascontiguousarray(fps[r, c]) for c in others]
+        falling = -n
+        for s in range(1, int(n[0])):  # each row with the s-th after it, of groups larger than s
+            p = int(np.searchsorted(falling, -s, side="left"))
+            d = np.bitwise_count(own[0][: p - s] ^ own[0][s:p])
+            for x in own[1:]:
+                d += np.bitwise_count(x[: p - s] ^ x[s:p])
+            a = np.flatnonzero(d <= k)
+            a = a[g[a] == g[a + s]]
+            if len(a):
+                a = a[np.bitwise_count(fps[r[a]] ^ fps[r[a + s]]).sum(axis=1) <= k]
+                touched[r[a]] = True
+                touched[r[a + s]] = True
+                if room >= 0:
+                    room -= len(a)
+                    pairs.append(np.minimum(r[a], r[a + s]) * len(fps) + np.maximum(r[a], r[a + s]))
+        i = j
+    if room >= 0:
+        own = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        own = own[np.diff(own, prepend=-1) != 0]
+        if len(own) <= 2 * np.count_nonzero(touched):
+            return [divmod(x, len(fps)) for x in own.tolist()]
+    rows = np.flatnonzero(touched)  # groups of many, of whose pairs a forest is enough
+    return [(int(rows[a]), int(rows[b])) for a, b in link(fps[rows], k)]
+
+
+def link_anchor(fps: np.ndarray, k: int, words_: np.ndarray, t: int, code: int, column: int) -> list[tuple[int, int]]:
+    """The same for the rows at one anchor: most rows have no partner at all.
 
     ``words_`` are the rows' words of the anchor's block, and only pairs that differ there in at most ``t`` bits, the block's
-    threshold, are judged by all bits: any other pair within k bits meets at an anchor of a block where it does.
+    threshold, are judged by all bits: any other pair within k bits meets at an anchor of a block where it does.  Up to MANY rows
+    by blocks of a matrix of differences, more by the words halfway between them.
     """
     n = len(fps)
     if n < 2:
         return []
+    if n > MANY:
+        return link_by_halves(fps, k, words_, t, code, column)
     step = max(1, (1 << 18) // n)
     touched = np.zeros(n, bool)
     for i in range(0, n, step):
@@ -258,11 +327,11 @@ def near_groups(docs: DataFrame, k: int = K, blocks: int = BLOCKS, id_col: str =
         anchor, n = anchor[order], t.column("node").to_numpy()[order]
         f = np.stack([t.column(x).to_numpy()[order] for x in cols], axis=1)
         cut = np.append(np.flatnonzero(np.diff(anchor, prepend=-1)), len(anchor))
-        u, v = [], []
+        u, v, codes = [], [], golay()
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             j = int(anchor[a]) % blocks
             own_words = ((f[a:b, j // 2] >> (BITS * (j % 2))) & ((1 << BITS) - 1)).astype(np.uint32)
-            for x, y in link_anchor(f[a:b], k, own_words, 2 * (radius[j] - RADIUS)):
+            for x, y in link_anchor(f[a:b], k, own_words, 2 * (radius[j] - RADIUS), int(codes[anchor[a] // blocks]), j // 2):
                 u.append(n[a + x]), v.append(n[a + y])
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
