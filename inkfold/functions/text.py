@@ -1,6 +1,7 @@
 """Text expressions whose semantics don't depend on the engine's idea of a word or of white space.
 
-A word character is a letter, a number or an underscore of any script; white space is every Unicode space.  All are plain Column
+A word character is a letter, a number or an underscore of any script; white space is every Unicode space.  Edges of words in the
+rules' patterns are those of SQL's engine, which sees them at ASCII letters only ("Übeen" has one before its b).  All are plain Column
 expressions with literal patterns, so that they are compiled once and stay in the JVM.
 """
 
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 W, S = f"[{WORD}]", f"[{SPACE}]"
-NOT_BEFORE, NOT_AFTER = f"(?<!{W})", f"(?!{W})"
-EDGE = f"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))"
+#: edges of words as RE2 has them, and so SQL: between what is an ASCII letter, a digit or an underscore and what isn't, in any case mode
+_EDGED = "(?-iu:[0-9A-Za-z_])"
+NOT_BEFORE, NOT_AFTER = f"(?<!{_EDGED})", f"(?!{_EDGED})"
+EDGE = f"(?:(?<={_EDGED})(?!{_EDGED})|(?<!{_EDGED})(?={_EDGED}))"
 
 
 def quote(literal: str) -> str:
@@ -28,8 +31,8 @@ def quote(literal: str) -> str:
 
 def bounded(phrase: str) -> str:
     """The phrase between word edges, any case."""
-    left = NOT_BEFORE if re.match(r"\w", phrase) else f"(?<={W})"
-    right = NOT_AFTER if re.search(r"\w$", phrase) else f"(?={W})"
+    left = NOT_BEFORE if re.match(r"\w", phrase) else f"(?<={_EDGED})"
+    right = NOT_AFTER if re.search(r"\w$", phrase) else f"(?={_EDGED})"
     return f"(?iu){left}{quote(phrase)}{right}"
 
 

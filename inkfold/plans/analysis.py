@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.config import DEFAULT, Config
 from ..functions.lexicon import PHRASES
-from ..functions.text import let, quote, sentences, strip, word_count
+from ..functions.text import NOT_AFTER, NOT_BEFORE, let, quote, sentences, strip, word_count
 from ..operators import decisions, rules, severity, splitting
 from ..operators.postprocess import STEPS
 from ..operators.rules import analyze
@@ -55,7 +55,7 @@ def without_phrases(c: Column) -> Column:
     return strip(c)
 
 
-_SHORT = r"(?i)\b(do|does|did|is|are|was|were|has|have) not\b"
+_SHORT = f"(?iu){NOT_BEFORE}(do|does|did|is|are|was|were|has|have) not{NOT_AFTER}"
 
 
 def with_short_forms(c: Column) -> Column:
@@ -65,7 +65,7 @@ def with_short_forms(c: Column) -> Column:
 
 def without_short_forms(c: Column) -> Column:
     """A stand-in for a model that restores formality."""
-    return F.regexp_replace(c, r"n't\b", " not")
+    return F.regexp_replace(c, f"n't{NOT_AFTER}", " not")
 
 
 def offer(ord_: int, text: Column, source: Column) -> Column:
