@@ -34,7 +34,9 @@ _FENCE = "`" * 3
 END = ".!?。！？"
 _CUT = re.compile(rf"(?<=[{END}])\s+")
 _PARAGRAPH = re.compile("\n\\s*\n")
+_BLANK_FIRST = re.compile(r"\s*?\n\s*\n")
 _DOUBLE, _SINGLE = "\"“”", "'‘’"
+_FIRST, _LAST = (re.compile(p.format(f"[\\\\\\s{_DOUBLE}{_SINGLE}]*")) for p in ("{}", r"{}\Z"))
 
 
 def first_object(text: str) -> dict | None:
@@ -84,7 +86,7 @@ def by_pattern(text: str) -> str | None:
 
 
 def cut_off(text: str) -> str | None:
-    """A value whose end is missing, in what began as JSON."""
+    """A value whose end is missing, in what began as JSON; empty if nothing of it is there."""
     raw = without_fence(text)
     m = _OPEN.search(raw)
     if m is None or not re.search(r"\{|json", raw[: m.start()], re.I):
@@ -92,18 +94,23 @@ def cut_off(text: str) -> str | None:
     tail = raw[m.end() :].lstrip()
     tail = tail[1:] if tail[:1] in ("'", '"') and tail else tail
     tail = re.sub(r"[\s,]*\}+\s*$", "", tail.rstrip().removesuffix(_FENCE)).strip()
-    return loose_string(tail) or None
+    return "" if tail in ('"', "'") else loose_string(tail)
 
 
 def raw_rewrite(answer: str, source: str) -> str:
     found = (first_object(answer) or {}).get(KEY)
     if isinstance(found, str) and found.strip():
         return found
-    if found := by_pattern(answer) or cut_off(answer):
-        return found
+    if value := by_pattern(answer):
+        return value
+    value = found if isinstance(found, str) else cut_off(answer)
+    if value is not None:  # a blank value is no text, and what stands around it isn't either
+        return value
     raw, src = without_fence(answer), source.strip()
+    if _BLANK_FIRST.match(answer) and _REMARK.search(_PARAGRAPH.split(raw)[0]):  # a remark about nothing
+        return ""
     if raw[:1] == "{" and raw[-1:] == "}" and src[:1] != "{" and src[-1:] != "}":
-        raw = raw[1:-1].strip()
+        return raw[1:-1].strip()
     return raw or answer
 
 
@@ -123,16 +130,16 @@ def clean(answer: str, source: str) -> str:
     paras = list(filter(None, map(str.strip, _PARAGRAPH.split(text))))
     if paras:
         text = paras[0] if any(map(_REMARK.search, paras[1:])) else "\n\n".join(paras)
-    text = " ".join(until_remark([x.strip() for x in text.splitlines() if x.strip()])) or text
+    text = " ".join(until_remark([x.strip() for x in text.split("\n") if x.strip()])) or text
     sents = [s.strip() for s in _CUT.split(text) if s.strip()]
     if len(src) <= 20 and len(sents) > 1:
         text = sents[0]
     elif sents:
         most = max(1, len(re.findall(f"[{END}]+", src))) + 1
         text = " ".join(until_remark(sents)[:most])
-    # quotation marks are stripped only of kinds the source doesn't begin or end with
-    marks = lambda edge: " " + "".join(k for k in (_DOUBLE, _SINGLE) if not edge or edge not in k)
-    text = text.lstrip(marks(src[:1])).rstrip(marks(src[-1:]))
+    # quotation marks are stripped only of kinds that aren't among those the source begins or ends with; a blank source says nothing of them
+    marks = lambda edge: " " + "".join(k for k in (_DOUBLE, _SINGLE) if src and not set(edge) & set(k))
+    text = text.lstrip(marks(_FIRST.match(src)[0])).rstrip(marks(_LAST.search(src)[0]))
     return length_guard(text, source) or src
 
 

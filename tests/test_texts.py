@@ -147,6 +147,16 @@ def test_extraction(answer, want):
     assert extraction.clean(extraction.raw_rewrite(answer, source), source) == want
 
 
+@pytest.mark.parametrize("source", ["", " \n ", '"', '""', "\\", "\"'tis so.", "a\rb and a long c\td and so on", "so it is'\""])
+def test_extraction_of_odd_sources(source):
+    """The forms of the query's answers, as its SQL has them; blank texts gave pieces of JSON, or the remark about them."""
+    body = re.sub(r'[\n"\\]', " ", source)
+    answers = ['{"rewrite": "' + body + '"}', '```json\n{"rewrite": "' + body + '"}\n```', '{"rewrite": "' + body, "Rewritten: " + body, "{" + body + "}", body + "\n\nNote that I changed it."]
+    assert {extraction.clean(extraction.raw_rewrite(a, source), source) for a in answers} == {body.strip() or source.strip()}
+    if not source.strip(' \n"'):
+        assert extraction.clean(extraction.raw_rewrite('{"rewrite": "a "quoted" ' + body + '"}', source), source) == 'a "quoted"'
+
+
 def test_length_guard():
     assert extraction.length_guard("a b c d e f g h", "x y") == "a b c d e"
     assert extraction.length_guard("word " * 100, "one two three four") == ("word " * 12)[:58]
