@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,21 +33,21 @@ def cut_hard(text: str, most: int) -> list[str]:
     return [*out, text] if text else out
 
 
-def _cut_texts(texts: pd.Series, limits: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else cut_hard(t, int(m)) for t, m in zip(texts, limits, strict=True)])
+def _cut(text: Column, most: int) -> Column:
+    """cut_hard() of a text longer than the limit, as a pattern: all that is left if it fits, else up to the last space, else ``most`` characters."""
+    space = "(?= )" if most > 1 else "(?!)"
+    cut = f".{{1,{max(1, most - 1)}}}{space}|.{{{most}}}"
 
+    def rest(v: Column) -> Column:
+        left = strip(v["t"].substr(F.length(v["first"]) + 1, F.length(v["t"])))
+        return F.concat(F.array(strip(v["first"])), F.regexp_extract_all(left, F.lit(f"(?s){S}*(.{{1,{most}}}\\z|{cut})"), F.lit(1)))
 
-def _cut_arrays(rows: pd.Series, limits: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else [None if t is None else cut_hard(t, int(m)) for t in r] for r, m in zip(rows, limits, strict=True)])
+    return let(F.struct(text.alias("t"), F.regexp_extract(text, f"(?s)\\A(?:{cut})", 0).alias("first")), lambda v: F.transform(rest(v), strip))
 
 
 def hard_split(text: Column, most: int) -> Column:
-    """Pieces of at most ``most`` characters, cut at the last space before; a loop without bound, so Python where it's needed.
-
-    Python gets nulls for texts within the limit.
-    """
-    long = F.length(text) > most
-    return F.when(long, F.pandas_udf(_cut_texts, STRINGS)(F.when(long, text), F.lit(most))).when(text == "", F.array().cast(STRINGS)).otherwise(F.array(text))
+    """Pieces of at most ``most`` characters, cut at the last space before."""
+    return F.when(F.length(text) > most, _cut(text, most)).when(text == "", F.array().cast(STRINGS)).otherwise(F.array(text))
 
 
 def group_sentences(sents: Column, most: int) -> Column:
@@ -72,24 +71,21 @@ def chunk_sentences(text: Column, most: int) -> Column:
 def chunks(df: DataFrame, most: int = 200, merge: bool = False, text_col: str = "text", out_col: str = "chunks") -> DataFrame:
     """Adds ``array<struct<text, para_idx>>``: text by paragraphs, long paragraphs by sentences, with the paragraph they begin in.
 
-    With ``merge`` short paragraphs are packed together up to the limit.  Python's cut runs on its own column, so folds stay in
-    the JVM.
+    With ``merge`` short paragraphs are packed together up to the limit.
     """
     t, pieces = strip(F.col(text_col)), "__pieces"
     paras = let(F.struct(t.alias("t"), paragraphs(t).alias("ps")), lambda v: F.when(v["t"] == "", F.array().cast(STRINGS)).when(F.size(v["ps"]) <= 1, F.array(v["t"])).otherwise(v["ps"]))
     # sentences of long paragraphs, null for others
     own = df.withColumn("__paras", paras).withColumn("__sents", F.transform("__paras", lambda p: F.when(F.length(p) > most, cjk_sentences(p))))
-    # the few paragraphs that are one long sentence go to Python, all at once for a row
-    alone = F.zip_with("__paras", "__sents", lambda p, s: F.when(F.size(s) == 1, p))
-    own = own.withColumn("__hard", F.when(F.exists("__sents", lambda s: F.size(s) == 1), F.pandas_udf(_cut_arrays, "array<array<string>>")(F.when(F.exists("__sents", lambda s: F.size(s) == 1), alone), F.lit(most))))
+    # the few paragraphs that are one long sentence are cut hard
+    own = own.withColumn("__hard", F.zip_with("__paras", "__sents", lambda p, s: F.when(F.size(s) == 1, hard_split(p, most))))
 
     # lambdas use their own arguments only: a column within one may be computed again for each element
     def piece(x: Column, i: Column) -> Column:
         soft = F.when(x["s"].isNull(), F.array(x["p"])).otherwise(group_sentences(x["s"], most))
         return F.struct(i.cast("int").alias("i"), x["p"].alias("p"), F.coalesce(x["h"], soft).alias("xs"))
 
-    hard = F.coalesce("__hard", F.transform("__paras", lambda _: F.lit(None).cast(STRINGS)))
-    own = own.withColumn(pieces, F.transform(F.arrays_zip(F.col("__paras").alias("p"), F.col("__sents").alias("s"), hard.alias("h")), piece))
+    own = own.withColumn(pieces, F.transform(F.arrays_zip(F.col("__paras").alias("p"), F.col("__sents").alias("s"), F.col("__hard").alias("h")), piece))
     if not merge:
         out = F.flatten(F.transform(pieces, lambda x: F.transform(x["xs"], lambda s: F.struct(s.alias("text"), x["i"].alias("para_idx")))))
     else:

@@ -1,6 +1,7 @@
 """Cleaning, post-processing, splitting, decisions, extraction and prompts."""
 
 import json
+import random
 import re
 
 import pytest
@@ -293,3 +294,31 @@ def test_sources(spark, tmp_path):
     tables.write_results(df.withColumn("input_text", F.lit("long")), str(tmp_path / "out"))
     back = tables.load_documents(spark, str(tmp_path / "out"), "json", schema="doc_id long, text string, input_text string")
     assert back.where("input_text is not null").count() == 0 and back.count() == 4
+
+
+def test_hard_cuts_without_python(spark):
+    """The pattern cuts as the loop does; it runs in the JVM, as Python's batches grew with the texts."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab  é\n\t　😀.", k=rng.randint(0, 60))) for _ in range(300)] + [" " * 40, "x" * 50, " x" * 30, "word " * 30, "  " + "y" * 25 + "   "]
+    for most in (1, 2, 7, 20):
+        want = [splitting.cut_hard(t, most) if len(t) > most else [t] if t else [] for t in texts]
+        assert column(spark, texts, lambda c, m=most: splitting.hard_split(c, m)) == want
+    plan = spark.createDataFrame([("x" * 500,)], "text string").select(splitting.hard_split(F.col("text"), 120))
+    assert "ArrowEvalPython" not in plan._jdf.queryExecution().toString()
+
+
+def test_nearest_over_blocks(spark, monkeypatch):
+    """Groups larger than a block, equal vectors, vectors of zeros, null groups and rows without a partner give what all pairs give."""
+    rng = random.Random(4)
+    vectors = [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in range(80)]
+    rows = [(i, rng.choice([None, "a", "b"]) if i < 78 else f"lone{i}", vectors[rng.randrange(80)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "i long, g string, embedding array<float>")
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    got = {r["i"]: (r["best_idx"], r["similarity"]) for r in similarity.nearest(df.where("i % 2 = 0"), df.where("i % 2 = 1"), ["g"], "i", "i").collect()}
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+    for i, g, v in rows[::2]:
+        pairs = [(dot(v, w) / (dot(v, v) * dot(w, w)) ** 0.5 if dot(v, v) * dot(w, w) else None, j) for j, h, w in rows[1::2] if h == g]
+        top = max((s for s, _ in pairs if s is not None), default=None)
+        near = [j for s, j in pairs if (s is None) == (top is None) and (top is None or s > top - 1e-12)]
+        want = (min(near), top) if pairs else (None, 1.0)
+        assert (got[i][0], got[i][1] if top is None else round(got[i][1], 9)) == (want[0], want[1] if top is None else round(want[1], 9)), i
