@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x20\x85\xa0  -     　"
-W, S = f"[{WORD}]", f"[{SPACE}]"
+#: a letter of ASCII is told by one comparison to be a word character, and any visible ASCII character to be no space
+W, S = f"[a-zA-Z[{WORD}]]", f"[[^!-~]&&[{SPACE}]]"
 #: edges of words as RE2 has them, and so SQL: between what is an ASCII letter, a digit or an underscore and what isn't, in any case mode
 _EDGED = "(?-iu:[0-9A-Za-z_])"
 NOT_BEFORE, NOT_AFTER = f"(?<!{_EDGED})", f"(?!{_EDGED})"
@@ -54,8 +55,17 @@ def tokens(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """Number of runs without white space; 0 for empty text."""
-    return F.regexp_count(c, F.lit(f"{SOLID}+"))
+    """Number of runs without white space; 0 for empty text.
+
+    Where single blanks or line feeds part the words, as nearly always, these are counted; a match of a pattern costs far more.
+    """
+    odd = f"[[^ -~]&&[{SPACE}]]"
+
+    def count(t: Column) -> Column:
+        plain = ~(t.contains("  ") | t.startswith(" ") | t.endswith(" ") | t.rlike(odd))
+        return F.when(t == "", 0).when(plain, F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).otherwise(F.regexp_count(t, F.lit(f"{SOLID}+")))
+
+    return let(F.replace(c, F.lit("\n"), F.lit(" ")), count)
 
 
 def _nfc(texts: pd.Series) -> pd.Series:
@@ -123,8 +133,7 @@ def let(value: Column, body) -> Column:
 def spans(text: Column, pattern: str | Column) -> Column:
     """Every match of a pattern that never matches empty, as ``array<struct<start, end>>`` of code points."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    parts, hits = F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.arrays_zip(F.slice(parts, 1, F.size(hits)).alias("p"), hits.alias("m"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -132,7 +141,48 @@ def spans(text: Column, pattern: str | Column) -> Column:
         end = start + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def found(hits: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(F.split(text, pattern, F.lit(-1)), 1, F.size(hits)).alias("p"), hits.alias("m"))
+        return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(none)
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), found)
+
+
+#: letters, the rarest first
+_RARE = "zqxjkvbpygfwmuclrdhsnioate"
+
+
+def anchor(phrase: str) -> str:
+    """The end of a phrase that begins with its rarest letter, of three characters at least."""
+    at = min(range(max(1, len(phrase) - 2)), key=lambda i: _RARE.find(phrase[i]) if phrase[i] in _RARE else 99)
+    return phrase[at:]
+
+
+def anchors(phrases: tuple[str, ...]) -> dict[str, str]:
+    """An anchor for each phrase that a text with the phrase contains; none begins with another."""
+    own = {p: anchor(p) for p in phrases}
+    short = {a: min((b for b in own.values() if a.startswith(b)), key=len) for a in own.values()}
+    return {p: short[a] for p, a in own.items()}
+
+
+def anchored(phrases: tuple[str, ...]) -> str:
+    """A pattern of the places of all anchors, overlapping ones too, each as group 1; most places are told by one look at a letter."""
+    every = sorted(set(anchors(phrases).values()), key=lambda a: -_RARE.find(a[0]))  # the more frequent are tried first
+    return f"(?=[{''.join(sorted({a[0] for a in every}))}])(?=({any_of(every)}))"
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of one of the words, none of which begins with another, as a tree of their characters: one step where a list of
+    alternatives takes one for each word."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    each = []
+    for c, rest in by.items():
+        while rest[0] and all(r[:1] == rest[0][0] for r in rest):  # what all have in common
+            c, rest = c + rest[0][0], [r[1:] for r in rest]
+        each.append(quote(c) + (any_of(rest) if rest[0] else ""))
+    return each[0] if len(each) == 1 else f"(?:{'|'.join(each)})"
 
 
 def around(text: Column, span: Column, left: int, right: int) -> Column:

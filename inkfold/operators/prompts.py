@@ -54,12 +54,12 @@ def sentence_label(violations: Column, severity: Column, heat: Column) -> Column
     return F.when(both == "", "CLEAN").otherwise(both)
 
 
-def annotated(sentences: DataFrame) -> DataFrame:
-    """(doc_id, annotated): a line for each sentence with its number, label and score, in order."""
+def annotated(sentences: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, annotated): a line for each sentence with its number, label and score, in order; and more aggregates by document."""
     score = F.when(F.col("ai_score") > 0, F.format_string(" (AI:%.3f)", F.col("ai_score"))).otherwise("")
     line = F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("]["), sentence_label(F.col("violations"), F.col("rule_severity"), F.col("heat")), F.lit("]"), score, F.lit(" "), F.col("text"))
-    rows = sentences.select("doc_id", F.struct("idx", line.alias("line")).alias("x"))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("annotated"))
+    rows = sentences.withColumn("x", F.struct("idx", line.alias("line")))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("annotated"), *more)
 
 
 def rewrite_prompt(text: Column, score: Column, genre: Column, retry: Column) -> Column:

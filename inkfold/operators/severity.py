@@ -101,7 +101,10 @@ def already_human(sentences: DataFrame, score: str = "ai_score", cfg: Config = D
     return per.withColumn("already_human", reads_human(F.col("ai_score"), F.col("clean_ratio"), cfg))
 
 
+HUMAN = ["human.no_colloquial", "human.no_short_sentence", "human.no_question"]
+
+
 def human_deficits(sentences: DataFrame) -> DataFrame:
-    """(doc_id, deficits): the distinct human.* rules of a document, in order."""
+    """(doc_id, deficits): the distinct human.* rules of a document, in order; sentences analysed by the rules HUMAN are enough."""
     ids = F.array_distinct(F.transform(F.filter("violations", lambda v: v["rule_id"].startswith("human.")), lambda v: v["rule_id"]))
     return sentences.where("idx = 0").select("doc_id", ids.alias("deficits"))

@@ -1,5 +1,7 @@
 """Rules, their spans and grades on hand-made sentences."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,25 @@ def test_edges_of_words_are_those_of_sql(spark):
         got = rules.analyze(df, rules=[rule]).select("doc_id", "idx", F.size("violations").alias("n")).where("n > 0")
         want = con.sql(sql.rule_counts(rule, src)).fetchall()
         assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_anchors_find_every_phrase():
+    """One pass finds what each of some 190 passes over a text found, overlapping words too."""
+    words = (*(p for ps in PHRASES.values() for p in ps), *ABSTRACT_NOUNS)
+    own, pattern = T.anchors(words), re.compile(T.anchored(words))
+    assert not [(a, b) for a in set(own.values()) for b in set(own.values()) if a != b and a.startswith(b)]
+    for w in words:
+        assert own[w] in w
+        for text in (w, f"xx{w}yy", f"{w}{w}", f"{w[0]}{w}"):
+            assert own[w] in {m[1] for m in pattern.finditer(text)}, w
+
+
+@pytest.mark.parametrize("name", ["stubborn_sentences", "prompt_stage3"])
+def test_sentences_are_analysed_once(spark, name, tmp_path):
+    """These were joined with a second analysis of all documents."""
+    from inkfold.plans import registry
+
+    spark.createDataFrame([(i, f"However, it is so; they delve. Plain text {i}.") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() and plan.count("Generate posexplode") <= 1
